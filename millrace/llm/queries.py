@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.catalog import table
-from millrace.llm import splits
+from millrace.llm import mixing, packing, splits, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,68 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
 def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Records, share and target share of each split."""
     done = _assigned(spark, folder).groupBy("split").agg(F.count("*").alias("records"), F.count_distinct("component").alias("components"))
-    total = done.agg(F.sum("records").alias("total"))
     targets = table(spark, folder, "split_targets").select(F.col("split_name").alias("split"), "target_share")
-    return done.join(targets, "split", "full").join(F.broadcast(total), how="cross").select("split", "records", "components", F.round(F.col("records") / F.col("total"), 6).alias("share"), "target_share")
+    return done.join(targets, "split", "full").select("split", "records", "components", F.round(F.col("records") / F.sum("records").over(Window.partitionBy(F.lit(1))), 6).alias("share"), "target_share")
+
+
+def _counted(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    return tokens.token_counts(table(spark, folder, "documents"), tokens.vocabulary_of(table(spark, folder, "tokenizer_vocab")), ["doc_id", *keep])
+
+
+@query("p2_totals")
+def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and tokens by source, lang and topic."""
+    return tokens.totals(_counted(spark, folder, "source", "lang", "topic"))
+
+
+@query("p2_documents")
+def p2_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The token count of every document."""
+    return _counted(spark, folder)
+
+
+@query("p2_stages")
+def p2_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stage's sources with their tokens, against the stage's total."""
+    return tokens.against_stages(_counted(spark, folder, "source"), table(spark, folder, "mixture_groups"))
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    groups = table(spark, folder, "mixture_groups")
+    return *mixing.mixture(_counted(spark, folder, "source"), groups), groups
+
+
+@query("p4_mixture")
+def p4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each stage, as often as they are read, with their place in the permutation."""
+    return _mixture(spark, folder)[0]
+
+
+@query("p4_shares")
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached by group and source beside the targets."""
+    return mixing.report(*_mixture(spark, folder))
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    # distinct row lengths of the stages: a configuration table
+    lengths = [r.seq_len for r in table(spark, folder, "mixture_groups").select("seq_len").distinct().collect()]
+    return packing.pack(_counted(spark, folder), lengths)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that had to be cut, by row length."""
+    return _packed(spark, folder).where("pieces > 1 and piece = 0").select("doc_id", "seq_len")
+
+
+@query("p5_rows")
+def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every piece of every document stands."""
+    return _packed(spark, folder)
+
+
+@query("p5_fill")
+def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the rows are."""
+    return packing.fill(_packed(spark, folder))
