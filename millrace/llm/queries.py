@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.catalog import table
-from millrace.llm import mixing, packing, splits, tokens
+from millrace.llm import leakage, mixing, packing, quality, splits, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,48 @@ def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
 def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full the rows are."""
     return packing.fill(_packed(spark, folder))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items and the documents that hold a passage of theirs."""
+    return _leaks(spark, folder).select("item_id", "doc_id")
+
+
+@query("p6_passages")
+def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest passage of each item and document, with its place in the original text."""
+    return _leaks(spark, folder)
+
+
+@query("p6_items")
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents leak each item."""
+    return leakage.leaked_items(_leaks(spark, folder), table(spark, folder, "benchmark"))
+
+
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.statistics(quality.text_counts(table(spark, folder, "documents").where("category = 'text'")))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of category text that are no running prose."""
+    return _statistics(spark, folder).where("not prose").select("doc_id")
+
+
+@query("p7_statistics")
+def p7_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, ratios, rule outcomes and verdict of every document of category text."""
+    return _statistics(spark, folder)
+
+
+@query("p7_verdicts")
+def p7_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdicts against the hand labels."""
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    return _statistics(spark, folder).join(labels, "doc_id").groupBy("quality", "prose").agg(F.count("*").alias("documents"))
