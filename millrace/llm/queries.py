@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.catalog import table
-from millrace.llm import leakage, mixing, packing, quality, splits, tokens
+from millrace.llm import leakage, mixing, packing, quality, splits, syntax, tokens
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,25 @@ def p7_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """The verdicts against the hand labels."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     return _statistics(spark, folder).join(labels, "doc_id").groupBy("quality", "prose").agg(F.count("*").alias("documents"))
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.parse(syntax.programs(*(table(spark, folder, n) for n in ("repository_files", "code_functions", "completions"))))
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Programs that are not valid in their language."""
+    return _judged(spark, folder).where("verdict <> 'valid'").select("record_table", "record_id")
+
+
+@query("p1_verdicts")
+def p1_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every program, and where an error stands."""
+    return _judged(spark, folder)
+
+
+@query("p1_rates")
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of invalid programs by repository and language."""
+    return syntax.rates(_judged(spark, folder))
