@@ -193,9 +193,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, most_items: int = 100_000)
                 if passages:
                     places = offsets(text)
                     for item, matched, span, start, end in sorted(passages):
-                        if end < len(places):
-                            a, b = places[start], places[end - 1] + 1
-                            out.append((item, doc, matched, span, a, b, text[a:b]))
+                        # where characters combine, the stream may be shorter than its parts: stay inside the text
+                        a = places[min(start, len(places) - 1)]
+                        b = min(len(text), places[min(end, len(places)) - 1] + 1)
+                        out.append((item, doc, matched, span, a, b, text[a:b]))
             columns = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item_id", "doc_id", "words", "span", "start", "end", "passage"])

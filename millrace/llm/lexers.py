@@ -401,7 +401,7 @@ def _directive(token: str) -> tuple[str, str]:
 
 
 def _kept(tokens: list[str], kinds: bytes, last_branch: bool) -> list[tuple[int, int]]:
-    """The ranges of tokens that are read; an empty range stands for an error in a directive."""
+    """The ranges of tokens that are read; (k, -1) stands for an error at token k."""
     mark = bytes([_DIRECTIVE_KIND])
     if mark not in kinds:
         return [(0, len(kinds))]
@@ -434,12 +434,12 @@ def _kept(tokens: list[str], kinds: bytes, last_branch: bool) -> list[tuple[int,
                 bad = True
         active = all(g[1] for g in groups)
         if bad and (active or word in ("if", "elif", "else", "endif")):
-            ranges.append((at[number], at[number]))
+            ranges.append((at[number], -1))
         if active:
             ranges.append((at[number] + 1, at[number + 1] if number + 1 < len(at) else len(kinds)))
     if groups:
-        ranges.append((len(kinds), len(kinds)))
-    return [r for k, r in enumerate(ranges) if r[0] < r[1] or r[0] in at or r == (len(kinds), len(kinds)) and k == len(ranges) - 1 and groups]
+        ranges.append((len(kinds), -1))
+    return [r for r in ranges if r[0] != r[1]]
 
 
 def cpp_stretches(text: str, last_branch: bool = False) -> list[bytes]:
@@ -449,7 +449,7 @@ def cpp_stretches(text: str, last_branch: bool = False) -> list[bytes]:
     kinds = bytes(map(CPP_KIND.__getitem__, tokens))
     ranges = _kept(tokens, kinds, last_branch)
     if len(ranges) != 1 or ranges[0] != (0, len(kinds)):
-        kinds = b"".join(kinds[a:b] if a < b else _CERROR for a, b in ranges)
+        kinds = b"".join(kinds[a:b] if b >= 0 else _CERROR for a, b in ranges)
     return [s for s in _CPP_CUT.findall(kinds) if s]
 
 
@@ -458,10 +458,11 @@ def cpp_place(text: str, number: int) -> tuple[int, str]:
     placed = [(m.group(1), m.start(1)) for m in _CPP.finditer("\n" + text) if m.group(1)]
     tokens = [t for t, _ in placed]
     for a, b in _kept(tokens, bytes(map(CPP_KIND.__getitem__, tokens)), False):
-        if number < max(1, b - a):
+        length = b - a if b >= 0 else 1
+        if number < length:
             token, start = placed[min(a + number, len(placed) - 1)] if placed else ("", 0)
             return ("\n" + text).count("\n", 0, start + (token[:1] == "\n")), token.strip()[:40]
-        number -= max(1, b - a)
+        number -= length
     return text.count("\n") + 1, ""
 
 
