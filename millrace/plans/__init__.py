@@ -11,4 +11,4 @@ def all_queries() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
 
 
-MODULES: list[str] = []
+MODULES = ["curate"]

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.catalog import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of one folder: ``t("documents")``."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+
 def query(name: str, sql: str | None = None):
-    """Register a plan builder (spark, folder) -> DataFrame under ``name``, with its oracle statement."""
-    def add(build):
+    """Register a plan builder (tables) -> DataFrame under ``name``, with its oracle statement."""
+    def add(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql:
             ORACLES[name] = sql
         return build
