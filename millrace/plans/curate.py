@@ -292,9 +292,9 @@ def _(t):
     return rows.groupBy("source").pivot("split", ["train", "val"]).count().na.fill(0)
 
 
-@query("s29_source_digest", "select repo_name, sha256(string_agg(relative_path || chr(1) || coalesce(content, '') || chr(1), '' order by relative_path, file_id)) as digest from repository_files where repo_name like 'B%' and lower(repo_name) <> 'brambleworks/quarry' group by 1")
+@query("s29_source_digest", "select repo_name, sha256(string_agg(relative_path || chr(1) || coalesce(content, '') || chr(1), '' order by relative_path, file_id)) as digest from repository_files where repo_name is not null and lower(repo_name) <> 'brambleworks/quarry' group by 1")
 def _(t):
-    rows = t("repository_files").where("repo_name like 'B%' and lower(repo_name) <> 'brambleworks/quarry'")
+    rows = t("repository_files").where("repo_name is not null and lower(repo_name) <> 'brambleworks/quarry'")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "file_id", F.concat("relative_path", F.lit("\x01"), F.coalesce("content", F.lit("")), F.lit("\x01")).alias("part")))), lambda s: s["part"])
     return rows.groupBy("repo_name").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"))
 

@@ -55,11 +55,11 @@ def _(t):
     return L.kth_occurrence(side("A", "a_order"), side("R", "b_order"), ["l_partkey"], ["a_order", "a_order_line"], ["b_order", "b_order_line"]).select("l_partkey", "a_order", "b_order")
 
 
-@query("j11_path_suffix", "select r.file_id as request, f.file_id as target from (select file_id, repo_name, array_to_string(string_split(relative_path, '/')[-2:], '/') as wanted from repository_files where repo_name is not null and relative_path is not null and file_id % 20 = 0) r join repository_files f on r.repo_name = f.repo_name and (f.relative_path = r.wanted or suffix(f.relative_path, '/' || r.wanted))")
+@query("j11_path_suffix", "select r.file_id as request, f.file_id as target from (select file_id, repo_name, array_to_string(string_split(relative_path, '/')[-2:], '/') as wanted from repository_files where repo_name is not null and relative_path is not null) r join repository_files f on r.repo_name = f.repo_name and (f.relative_path = r.wanted or suffix(f.relative_path, '/' || r.wanted))")
 def _(t):
     files = t("repository_files").where("repo_name is not null and relative_path is not null").select("file_id", "repo_name", "relative_path")
     wanted = F.substring_index("relative_path", "/", -2)
-    requests = files.where("file_id % 20 = 0").select(F.col("file_id").alias("request"), "repo_name", wanted.alias("wanted"))
+    requests = files.select(F.col("file_id").alias("request"), "repo_name", wanted.alias("wanted"))
     return L.resolve_suffix(requests, files, "repo_name", "wanted", "relative_path").select("request", F.col("file_id").alias("target")).distinct()
 
 
