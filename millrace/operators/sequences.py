@@ -231,20 +231,22 @@ def repeated_coverage(frame: DataFrame, words: Column, n: int, out: str = "cover
     def grams(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
 
-    @F.pandas_udf(T.DoubleType())
-    def covered(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            h = np.asarray(h)
-            _, where, counts = np.unique(h, return_inverse=True, return_counts=True)
-            at = np.flatnonzero(counts[where] > 1)
-            mark = np.zeros(len(h) + n, dtype=np.int64)
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + n, -1)
-            return float((np.cumsum(mark)[: len(h) + n - 1] > 0).mean())
-        return hashes.map(one, na_action="ignore")
+    def covered(h) -> float:
+        h = np.asarray(h)
+        _, where, counts = np.unique(h, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(counts[where] > 1)
+        mark = np.zeros(len(h) + n, dtype=np.int64)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + n, -1)
+        return float((np.cumsum(mark)[: len(h) + n - 1] > 0).mean())
+
+    def measure(batches):
+        for frame_ in batches:
+            yield frame_.assign(**{out: [covered(h) for h in frame_["_hashes"]]}).drop(columns="_hashes")
 
     hashed = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, grams(w))), 1)
-    return frame.withColumn("_hashes", hashed).where("_hashes is not null").withColumn(out, covered("_hashes")).drop("_hashes")
+    schema = T.StructType([*frame.schema.fields, T.StructField(out, T.DoubleType())])
+    return frame.withColumn("_hashes", hashed).where("_hashes is not null").mapInPandas(measure, schema)
 
 
 def bisect_most(low: int, high: int, fits: Callable[[int], bool]) -> int:

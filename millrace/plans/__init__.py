@@ -11,4 +11,4 @@ def all_queries() -> tuple[dict, dict]:
     return dict(QUERIES), dict(ORACLES)
 
 
-MODULES = ["curate", "evaluate", "relate", "chat", "sequence"]
+MODULES = ["curate", "evaluate", "relate", "chat", "sequence", "storage"]
