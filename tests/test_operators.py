@@ -1,0 +1,222 @@
+"""Edge cases and brute-force comparisons of the core operators."""
+
+import itertools
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.functions import text as X
+from millrace.functions.names import repository_key, topic_key
+from millrace.functions.programs import diagnostics_of, examples_of, imports_of, outcome, repair
+from millrace.operators import curation, graphs, lookups, sampling, sequences, statistics
+from millrace.operators.components import connected_components
+from millrace.operators.hotjoin import hot_left_join
+from millrace.operators.ranking import global_rank, ntile_of
+from millrace.sources import files
+
+
+def rows(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=repr)
+
+
+def test_line_ends(spark):
+    cases = [("a\r\nb\rc", "a\nb\nc"), ("\ufeff\ufeffx", "x"), ("x\ufeff", "x\ufeff"), ("", ""), (None, None)]
+    frame = spark.createDataFrame([(a,) for a, _ in cases], "t string")
+    assert [r[0] for r in frame.select(X.normalize_lines(F.col("t"))).collect()] == [b for _, b in cases]
+
+
+def test_reasoning_splits(spark):
+    frame = spark.createDataFrame([("<think>a</think>b</think>c",), ("x<think>a</think>b",), (" \n<think>a",), ("",), (None,)], "t string")
+    got = frame.select(X.reasoning(F.col("t")), X.answer(F.col("t")), X.last_answer(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("a", "b</think>c", "c"), (None, None, "b"), (None, None, ""), (None, None, ""), (None, None, None)]
+
+
+def test_repository_spelling(spark):
+    names = ["Own/Pro", " own / pro ", "/oWN/pRO", "own/pro.git", "own/pro.git/", "own/pro/", "https://host.org/Own/Pro.git", "git@host.org:own/pro"]
+    frame = spark.createDataFrame([(n,) for n in [*names, "own/pro2", " ", "/", None]], "n string")
+    got = [r[0] for r in frame.select(repository_key(F.col("n"))).collect()]
+    assert got == ["own/pro"] * len(names) + ["own/pro2", None, None, None]
+    assert spark.range(1).select(topic_key(F.lit(" Data-Handling "))).first()[0] == "data handling"
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdefghij"), st.sampled_from("abcdefghij")), max_size=12))
+def test_components(spark, links):
+    frame = spark.createDataFrame([*links, (None, "z"), ("z", None)], "u string, v string")
+    parent = {x: x for pair in links for x in pair} | {"z": "z"}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert rows(connected_components(frame)) == sorted((x, root(x)) for x in parent)
+
+
+def test_components_of_a_long_chain_and_nothing(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}", 1) for i in range(60)], "u string, v string, component int")
+    assert {r.component for r in connected_components(chain).collect()} == {"n000"}
+    assert connected_components(chain.limit(0)).count() == 0
+
+
+def test_hot_join_with_null_and_hot_keys(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(60)], "id long, key string")
+    right = spark.createDataFrame([("hot", 5000, "H"), *[(f"k{i}", 1, f"v{i}") for i in range(0, 60, 2)]], "key string, n long, value string")
+    got = hot_left_join(left, right, "key", "id", "n", 5030)
+    assert rows(got) == rows(left.join(right.drop("n"), "key", "left").select("id", "key", "value"))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_global_rank_does_not_depend_on_partitions(spark, parts):
+    data = [(random.Random(i).randint(0, 5), i) for i in range(40)]
+    frame = spark.createDataFrame(data, "a int, b int").repartition(5)
+    got = global_rank(frame, ["a", "b"], parts=parts, weight="b").orderBy("rank").collect()
+    want = sorted(data)
+    assert [(r.a, r.b) for r in got] == want and [r.rank for r in got] == list(range(1, 41))
+    assert [r.running for r in got] == list(itertools.accumulate(b for _, b in want))
+    tiles = [r[0] for r in spark.range(1, 12).select(ntile_of(F.col("id"), F.lit(11), 4)).collect()]
+    assert tiles == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
+
+
+def test_duplicates_and_empty_texts(spark):
+    frame = spark.createDataFrame([(1, 9, "a"), (0, 5, "a"), (0, 6, "b"), (1, 7, "")], "o int, d int, t string").withColumn("id", F.sha1("t"))
+    assert rows(curation.duplicate_addresses(frame, "id", ["o", "d"])) == [(1, 7), (1, 9)]
+
+
+def test_overlap_edges(spark):
+    ten = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, "x " + ten.replace(" ", "\n")), (2, " ".join(ten.split()[:9])), (3, ten.replace(" ", "\u00a0")), (4, None), (5, "")], "d int, t string")
+    tests = spark.createDataFrame([(7, ten), (8, ten + " more"), (9, None)], "item_id int, text string")
+    assert rows(curation.overlaps(docs, tests, "d", "t")) == [(1, [7, 8]), (3, [7, 8])]
+
+
+def test_quotas_add_up(spark):
+    sizes = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "s string, n int")
+    assert rows(sampling.quotas(sizes, "s", "n", 4)) == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_as_of_and_intervals(spark):
+    left = spark.createDataFrame([(1, "u", 5), (2, "u", 1), (3, "v", 9)], "i int, k string, at int")
+    right = spark.createDataFrame([("u", 2, 10), ("u", 5, 20), ("u", 5, 30)], "k string, at int, x int")
+    assert sorted((r.i, r.x) for r in lookups.as_of(left, right, "k", "at", "x").collect()) == [(1, 30), (2, None), (3, None)]
+    points = spark.createDataFrame([(1.0,), (2.0,), (9.5,)], "p double")
+    spans = spark.createDataFrame([("a", 1.0, 2.0), ("b", 2.0, 30.0), ("c", 5.0, 1.0)], "n string, low double, high double")
+    assert rows(lookups.in_interval(points, "p", spans, "low", "high", 4.0).select("p", "n")) == [(1.0, "a"), (2.0, "a"), (2.0, "b"), (9.5, "b")]
+    with pytest.raises(Exception, match="exactly one"):
+        lookups.exactly_one(points.union(points), "p").collect()
+
+
+def test_statistics_edges(spark):
+    same = spark.createDataFrame([("g", "c1", 2.0, 1.0), ("g", "c1", 2.0, 1.0), ("h", "c2", 1.0, 0.0)], "g string, c string, t double, b double")
+    got = {r.g: r for r in statistics.clustered_ratio(same, ["g"], "c", "t", "b").collect()}
+    assert got["g"].ratio == 2.0 and got["g"].se is None and got["h"].ratio is None
+    flat = same.agg(statistics.correlation(F.col("b") * 0, F.col("t")).alias("r")).first().r
+    assert flat is None
+    k = spark.createDataFrame([(5, 0), (5, 5), (5, 3), (5, 2)], "n int, c int").select(statistics.pass_at_k(F.col("n"), F.col("c"), 3)).collect()
+    assert [round(r[0], 6) for r in k] == [0.0, 1.0, 1.0, 0.9]
+    p = spark.createDataFrame([(0, 0), (1, 5), (3, 3)], "a int, b int").select(statistics.mcnemar_exact("a", "b")).collect()
+    assert [round(r[0], 6) for r in p] == [1.0, 0.21875, 1.0]
+
+
+def brute_dry(tokens, breakers, most=64):
+    found = {}
+    for j in range(len(tokens) - 1):
+        for k in range(1, most + 1):
+            a, b = tokens[j + 1 - k : j + 1], tokens[len(tokens) - k :]
+            if k > j + 1 or a != b or set(a) & breakers:
+                break
+            found[tokens[j + 1]] = max(found.get(tokens[j + 1], 0), k)
+    return found
+
+
+@given(st.lists(st.integers(0, 3), max_size=40), st.sets(st.integers(0, 3), max_size=1))
+def test_dry_lengths(tokens, breakers):
+    assert sequences.dry_lengths(tokens, breakers) == brute_dry(tokens, breakers)
+
+
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_packing_holds_and_is_tight(sizes):
+    for placed, most in ((sequences.best_fit(sizes, 50), None), (sequences.first_fit(sizes, 50, 3), 3)):
+        load, count = {}, {}
+        for row, size in zip(placed, sizes):
+            load[row], count[row] = load.get(row, 0) + size, count.get(row, 0) + 1
+        assert all(v <= 50 for v in load.values()) and (most is None or all(c <= most for c in count.values()))
+        if most is None and len(load) > 1:
+            assert sum(sorted(load.values())[:2]) > 50
+
+
+def test_cycles():
+    assert sequences.find_cycle([9, 1, 2, 1, 2, 1, 2, 1, 2], 6, 4) == (2, 1)
+    assert sequences.find_cycle([5, 5, 5, 5], 4, 2) == (1, 0)
+    assert sequences.find_cycle([1, 2], 6, 4) == (None, None)
+    assert sequences.find_cycle([1, 2, 3, 4, 5, 6], 6, 5) == (None, None)
+    assert sequences.bisect_most(1, 100, lambda n: n <= 37) == 37
+
+
+def test_pieces_cover_the_text():
+    text = "x = 1\ny = 2\n" * 5
+    starts = [*range(0, len(text), 3), len(text)]
+    for python in (True, False):
+        cut = sequences.cut_pieces(starts, text, 6, python)
+        assert cut[0][0] == 0 and cut[-1][1] == len(starts) - 1
+        assert all(a[1] == b[0] for a, b in zip(cut, cut[1:])) and all(0 < b - a <= 6 for a, b in cut)
+
+
+def test_infilling_keeps_the_text():
+    text = "a\nbb\nccc\n"
+    for k in range(50):
+        found = sequences.infill(text, str(k), 1.0)
+        if found:
+            mode, example = found
+            rest = example.replace("<PRE>", "|").replace("<SUF>", "|").replace("<MID>", "|").split("|")
+            joined = rest[1] + rest[3] + rest[2] if mode == "psm" else rest[3] + rest[2]
+            assert joined == text or mode == "spm" and sorted(joined) == sorted(text)
+
+
+@given(st.integers(1, 9), st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=20))
+def test_dependency_order(n, links):
+    links = sorted({(a % n, b % n) for a, b in links if a % n != b % n})
+    groups = graphs.dependency_order(n, links)
+    assert sorted(i for g in groups for i in g) == list(range(n))
+    reach = {i: {i} for i in range(n)}
+    for _ in range(n):
+        for a, b in links:
+            reach[a] |= reach[b]
+    place = {i: (k, p) for k, g in enumerate(groups) for p, i in enumerate(g)}
+    for a, b in links:
+        assert place[a][0] == place[b][0]
+        assert a in reach[b] or place[b] < place[a]
+
+
+def test_import_edges():
+    paths = ["pkg/__init__.py", "pkg/a.py", "pkg/b.py", "top.py"]
+    texts = ["", "from . import b\nfrom .. import gone\n", "import pkg.a\nimport os\n", "from pkg.a import x\nimport top\n"]
+    assert graphs.edges(paths, texts, "Python") == [(1, 2), (2, 1), (3, 1)]
+    assert graphs.edges(["s/a.cpp", "s/b.h", "t/c.h"], ['#include "b.h"\n#include "../t/c.h"\n#include "../../x.h"\n', "", ""], "C++") == [(0, 1), (0, 2)]
+
+
+def test_programs():
+    assert outcome("x = (")[0] == "syntax" and outcome("if x:\ny")[0] == "indentation" and outcome("")[0] == "ok" and outcome(None)[0] is None
+    assert repair("x = <NAME>\n") == "x = NAME\n" and repair("if x:\n        y\n\tz\n") == "if x:\n        y\n        z\n" and repair("x x") is None
+    assert imports_of("from . import a\nimport b.c\n") == [".a", "b.c"] and imports_of("(") is None
+    assert diagnostics_of("def f():\n    def g():\n        return 1\n", "f") == "returns_nothing"
+    assert diagnostics_of("def f():\n    return 1\n", None) == "ok" and diagnostics_of("x = 1", None) == "missing"
+    assert examples_of('"""\n>>> f(1)\n2\n"""\n') == [{"source": "f(1)", "want": "2"}]
+
+
+def test_blobs_and_records(spark):
+    frame = spark.createDataFrame([(b"junk",), (None,)], "b binary")
+    assert [r[0] for r in frame.select(files.blob_text("b")).collect()] == [None, None]
+    path = files.scratch(spark, "records")
+    with pytest.raises(Exception, match="not finite"):
+        files.append_records(spark.createDataFrame([(float("nan"),)], "x double"), path)
+    numbered = files.by_number(spark.createDataFrame([("p/10.json.gz",), ("p/9.json.gz",)], "path string"), "path")
+    assert [r.number for r in numbered.collect()] == [9, 10]
+    batches = files.size_batches(spark.createDataFrame([("a", 6), ("b", 6), ("c", 6)], "f string, n int"), "f", "n", 10)
+    assert [r.batch for r in batches.orderBy("f").collect()] == [0, 0, 1]
