@@ -35,7 +35,7 @@ het een van dat zijn op te voor niet met aan er ook maar
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TERM = re.compile(r"(?<![.…])[.!?]+[\"'”’»«)\]*_]*(?=\s|\Z)|[。！？]")
-_DOTS = re.compile(r"\.{2,}[\"'”’»«)\]*_]*(?=\s|\Z)")
+_DOTS = re.compile(r"(?<![.…])\.{2,}[\"'”’»«)\]*_]*(?=\s|\Z)")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _DIGIT = re.compile(r"\d")
 _CAPITALS = re.compile(r"(?<![^\W\d_])[A-Z]{2,}(?![^\W\d_])")
@@ -61,7 +61,7 @@ def token_counts(text: str) -> list[int]:
     """Counts over whole tokens: runs without white space."""
     words = _WORD.findall(text.lower())
     ends = len(_TERM.findall(text)) - len(_DOTS.findall(text))
-    return [len(text), len(words), sum(map(len, words)), sum(map(COMMON.__contains__, words)), len(_SYMBOL.findall(text)), len(_DIGIT.findall(text)), max(0, ends), len(_CAPITALS.findall(text))]
+    return [len(text), len(words), sum(map(len, words)), sum(map(COMMON.__contains__, words)), len(_SYMBOL.findall(text)), len(_DIGIT.findall(text)), ends, len(_CAPITALS.findall(text))]
 
 
 def line_counts(start: str, end: str, length: int, pipes: int, tabs: int, gaps: int) -> list[int]:
