@@ -172,7 +172,7 @@ assignment = conditional ((ASSIGN | '=' | '>' '>=') (assignment | braced))? | 't
 conditional = binary ('?' expression ':' assignment)? ;
 binary = unary ((BINARY | '*' | '&' | '&&' | '+' | '-' | '/' | '<' | '>' | '>' '>' | '>=' | '->*') unary)* ;
 shift_free = sf_binary ('?' expression ':' sf_binary)? ;
-sf_binary = unary ((BINARY | '*' | '&' | '&&' | '+' | '-' | '/' | '<') unary)* ;
+sf_binary = unary ((BINARY | '*' | '&' | '&&' | '+' | '-' | '/' | '<' | '>=') unary)* ;
 unary = ('+' | '-' | '*' | '&' | '&&' | '!' | '~' | INCREMENT)* unary_end ;
 unary_end = postfix | 'sizeof' (unary | '(' type_id ')' | '...' '(' id ')') | 'alignof' '(' type_id ')' | 'noexcept' '(' expression ')' | '(' type_id ')' (unary | braced) | '::'? 'new' ('(' arguments ')')? (new_type | '(' type_id ')') ('(' arguments? ')' | braced)? | '::'? 'delete' ('[' ']')? unary ;
 new_type = specifier* type_specifier cv* pointer* ('[' expression? ']')* ;

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from millrace.catalog import table
 from millrace.llm import leakage, mixing, packing, quality, splits, syntax, tokens
+from millrace.llm.sql import ORACLES
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def query(name: str):

@@ -15,6 +15,7 @@ GOOD_CPP = [
     "enum class E : unsigned char { a = 1, b, c = a + 2, };", "void f() try { throw 1; } catch (const std::exception& e) { } catch (...) { }",
     "int a = b < c ? d >> 2 : (int)e; for_each(x); int y;", "namespace a::b { inline namespace c { using namespace std; } }",
     "void g() { for (auto& [k, v] : m) { if (auto it = m.find(k); it != m.end()) continue; } do x--; while (x > 0); done: return; }",
+    "template <typename A, typename B> typename std::enable_if<sizeof(A) >= sizeof(B), int>::type f();",
     "/* <<<<<<< HEAD */ // =======\nint x;", "int (*fp)(int, char) = nullptr; int arr[3][4] = {}; extern \"C\" { int f(void*); }",
     "template <class T, int N = 3> struct S { static_assert(N > 0, \"x\"); T v[N] = {}; T& operator[](int i) { return v[i % N]; } };",
     "void f() { std::function<int(const T&, int)> h = &X::y; auto p = new int[3]{1, 2, 3}; delete[] p; x = sizeof(int) + sizeof x; }",
