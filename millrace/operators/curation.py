@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions.hashing import draw, residue
 from millrace.functions.text import words
 from millrace.operators.ranking import global_rank, ntile_of
+from millrace.session import spread
 
 
 def keep_first(frame: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -45,15 +46,19 @@ def shards(frame: DataFrame, order: list[str], tiles: int) -> DataFrame:
     return global_rank(frame, order).withColumn("shard", ntile_of(F.col("rank"), F.lit(total), tiles)).drop("rank")
 
 
-def word_ngrams(text: Column, n: int) -> Column:
-    """All runs of n words, joined by one blank; none for shorter texts.
+def ngram_keys(text: Column, n: int) -> Column:
+    """All n-word runs as pairs of 64-bit hashes: equal pairs stand for equal runs (128 bits decide).
 
-    The words are bound to a lambda's variable: inlined, they would be split anew for every run.
+    Repeats stay: making struct arrays distinct compares all pairs.
     """
-    def runs(w: Column) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # the words are bound to a lambda's variable: inlined, they would be split anew for every run
+    def keys(w: Column) -> Column:
+        def key(i: Column) -> Column:
+            run = F.slice(w, i, n)
+            return F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(n), run).alias("b"))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), key)).otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>"))
 
-    return F.element_at(F.transform(F.array(words(text)), runs), 1)
+    return F.element_at(F.transform(F.array(words(text)), keys), 1)
 
 
 #: A benchmark's n-grams up to this many go to every executor; more are joined by shuffle.
@@ -63,12 +68,12 @@ BROADCAST_GRAMS = 500_000
 def overlaps(documents: DataFrame, tests: DataFrame, ident: str, text: str, test_ident: str = "item_id", test_text: str = "text", n: int = 10) -> DataFrame:
     """(ident, items): documents sharing an n-word run with tests, and the ids of those tests, ascending.
 
-    The documents' n-grams are distinct per document before they meet the tests' grams. Null texts match nothing.
+    Runs meet the tests' by broadcast, before any shuffle, so only hits are grouped. Null texts match nothing.
     """
-    grams = tests.select(F.explode(F.array_distinct(word_ngrams(F.col(test_text), n))).alias("gram"), F.col(test_ident).alias("item"))
+    grams = tests.select(F.explode(ngram_keys(F.col(test_text), n)).alias("gram"), F.col(test_ident).alias("item")).select("gram.a", "gram.b", "item").distinct()
     many = grams.limit(BROADCAST_GRAMS + 1).count() > BROADCAST_GRAMS
-    mine = documents.select(F.col(ident), F.explode(F.array_distinct(word_ngrams(F.col(text), n))).alias("gram"))
-    hits = mine.join(grams if many else F.broadcast(grams), "gram")
+    mine = spread(documents.select(ident, text)).select(F.col(ident), F.explode(ngram_keys(F.col(text), n)).alias("gram")).select(ident, "gram.a", "gram.b")
+    hits = mine.join(grams if many else F.broadcast(grams), ["a", "b"])
     return hits.groupBy(ident).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 

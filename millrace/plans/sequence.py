@@ -13,11 +13,12 @@ from millrace.operators.components import connected_components
 from millrace.operators.ranking import global_rank
 from millrace.plans.curate import words_sql
 from millrace.plans.registry import query
+from millrace.session import spread
 
 
 def encoded(t):
     encode = Q.encoder(t.spark, Q.vocabulary(t("tokenizer_vocab")))
-    return t("documents").where("text is not null").select("doc_id", "source", "lang", encode("text").alias("tokens"))
+    return spread(t("documents").where("text is not null").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", encode("text").alias("tokens"))
 
 
 @query("q01_encode")
@@ -38,7 +39,8 @@ def _(t):
 
 def pieces(t, window=512):
     cut = Q.piece_cutter(t.spark, Q.vocabulary(t("tokenizer_vocab")), window)
-    rows = t("documents").where("text is not null").select("doc_id", "source", F.posexplode(cut("text", "lang")).alias("piece", "p"))
+    texts = spread(t("documents").where("text is not null").select("doc_id", "source", "lang", "text"))
+    rows = texts.select("doc_id", "source", F.posexplode(cut("text", "lang")).alias("piece", "p"))
     return rows.select("doc_id", "source", "piece", "p.start", "p.end")
 
 
@@ -166,7 +168,7 @@ _COVER = f"with w as (select doc_id, unnest(w) as word, generate_subscripts(w, 1
 
 @query("w08_repetition_coverage", _COVER)
 def _(t):
-    rows = Q.repeated_coverage(t("documents").where("text is not null").select("doc_id", "text"), X.words(F.col("text")), _N)
+    rows = Q.repeated_coverage(spread(t("documents").where("text is not null").select("doc_id", "text")), X.words(F.col("text")), _N)
     return rows.select("doc_id", F.round("covered", 6).alias("covered"))
 
 

@@ -44,6 +44,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table of few splits dealt out to all cores, for a costly step to come; one with splits enough as it is."""
+    parallel = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= parallel else frame.repartition(parallel)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per context, for clusters whose workers do not have it installed."""
     context = spark.sparkContext
