@@ -44,10 +44,12 @@ def mean_with_error(rows: DataFrame, by: list[str], value: str, cluster: str | N
     if cluster is None:
         base = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
     else:
+        keys, by = by, by or ["_all"]
+        rows = rows if keys else rows.withColumn("_all", F.lit(0))
         parts = rows.groupBy(*by, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_k"))
         means = parts.groupBy(*by).agg((F.sum("_s") / F.sum("_k")).alias("mean"), F.sum("_k").alias("n"))
-        joined = parts.join(means, by) if by else parts.crossJoin(F.broadcast(means))  # one row
-        base = joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sqrt(F.sum(F.pow(F.col("_s") - F.col("_k") * F.col("mean"), 2))) / F.first("n")).alias("se"))
+        joined = parts.join(means, by)
+        base = joined.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sqrt(F.sum(F.pow(F.col("_s") - F.col("_k") * F.col("mean"), 2))) / F.first("n")).alias("se")).drop("_all")
     return base.withColumns({"low": F.col("mean") - Z * F.col("se"), "high": F.col("mean") + Z * F.col("se")})
 
 

@@ -89,13 +89,21 @@ def _(t):
     return t("repository_files").where("content is not null").select("file_id", F.sha1(X.path_comment(F.col("relative_path"), F.col("content"), F.col("lang"))).alias("digest"))
 
 
-@query("p11_documents_from_samples", "select lower(repo_name) as repo, lang, count(*) as files, sha1(string_agg(content, '' order by relative_path, file_id)) as digest from repository_files where repo_name is not null and content is not null and lower(repo_name) <> 'brambleworks/quarry' group by 1, 2 union all select lower(repo_name), lang, count(*), null from repository_files where repo_name is not null and content is not null and lower(repo_name) = 'brambleworks/quarry' group by 1, 2")
+_FOLDER = "regexp_replace(coalesce(relative_path, ''), '[^/]*$', '')"
+
+
+def foldered(t):
+    """Files with their folder: the unit whose texts are joined, as a whole repository may hold any share of the rows."""
+    path = F.coalesce("relative_path", F.lit(""))
+    return t("repository_files").where("repo_name is not null").withColumns({"path": path, "folder": F.regexp_replace(path, "[^/]*$", "")})
+
+
+@query("p11_documents_from_samples", f"select lower(repo_name) as repo, lang, {_FOLDER} as folder, count(*) as files, sha1(string_agg(content, '' order by coalesce(relative_path, ''), file_id)) as digest from repository_files where repo_name is not null and content is not null group by 1, 2, 3")
 def _(t):
-    """One document a repository and language; a repository beyond any row's size stays in parts, here the known large one."""
-    files = t("repository_files").where("repo_name is not null and content is not null").withColumn("repo", F.lower("repo_name"))
-    large = F.col("repo") == "brambleworks/quarry"
-    joined = files.where(~large).groupBy("repo", "lang").agg(F.count("*").alias("files"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "file_id", "content"))), lambda s: s["content"]), "")).alias("digest"))
-    return joined.unionByName(files.where(large).groupBy("repo", "lang").agg(F.count("*").alias("files"), F.lit(None).cast("string").alias("digest")))
+    """One document a repository, language and folder, its files in path order."""
+    files = foldered(t).where("content is not null").withColumn("repo", F.lower("repo_name"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "file_id", "content"))), lambda s: s["content"])
+    return files.groupBy("repo", "lang", "folder").agg(F.count("*").alias("files"), F.sha1(F.array_join(parts, "")).alias("digest"))
 
 
 @query("w01_keep_first", f"select doc_id, id from (select doc_id, id, row_number() over (partition by id order by keep_order, doc_id) as n from {STANDARD} join source_catalog using (source) where text is not null) where n = 1 and id <> sha1('')")
@@ -292,11 +300,11 @@ def _(t):
     return rows.groupBy("source").pivot("split", ["train", "val"]).count().na.fill(0)
 
 
-@query("s29_source_digest", "select repo_name, sha256(string_agg(relative_path || chr(1) || coalesce(content, '') || chr(1), '' order by relative_path, file_id)) as digest from repository_files where repo_name is not null and lower(repo_name) <> 'brambleworks/quarry' group by 1")
+@query("s29_source_digest", f"select repo_name, {_FOLDER} as folder, sha256(string_agg(coalesce(relative_path, '') || chr(1) || coalesce(content, '') || chr(1), '' order by coalesce(relative_path, ''), file_id)) as digest from repository_files where repo_name is not null group by 1, 2")
 def _(t):
-    rows = t("repository_files").where("repo_name is not null and lower(repo_name) <> 'brambleworks/quarry'")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("relative_path", "file_id", F.concat("relative_path", F.lit("\x01"), F.coalesce("content", F.lit("")), F.lit("\x01")).alias("part")))), lambda s: s["part"])
-    return rows.groupBy("repo_name").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"))
+    part = F.concat("path", F.lit("\x01"), F.coalesce("content", F.lit("")), F.lit("\x01")).alias("part")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "file_id", part))), lambda s: s["part"])
+    return foldered(t).groupBy("repo_name", "folder").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"))
 
 
 @query("s30_layout", "select distinct source || '/' || case when (md5_number(group_key) % 100)::bigint = 0 then 'val' else 'train' end || '/' || (md5_number(group_key) % 10)::bigint || '.parquet' as path from documents where group_key is not null")

@@ -220,3 +220,10 @@ def test_blobs_and_records(spark):
     assert [r.number for r in numbered.collect()] == [9, 10]
     batches = files.size_batches(spark.createDataFrame([("a", 6), ("b", 6), ("c", 6)], "f string, n int"), "f", "n", 10)
     assert [r.batch for r in batches.orderBy("f").collect()] == [0, 0, 1]
+
+
+def test_clustered_mean_of_everything(spark):
+    frame = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "c string, v double")
+    got = statistics.mean_with_error(frame, [], "v", "c").first()
+    assert (got.n, got.mean, got.se) == (3, 2.0, 0.0) and "_all" not in got.asDict()
+    assert statistics.mean_with_error(frame.limit(0), ["c"], "v", "c").count() == 0
