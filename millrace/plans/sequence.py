@@ -117,12 +117,8 @@ def _(t):
 
 
 def repository_files(t):
-    """Files by repository; the repository that may hold any share of the rows is cut by first folder."""
-    files = t("repository_files").where("repo_name is not null").withColumn("repo", repository_key(F.col("repo_name")))
-    size = files.groupBy("repo").agg(F.count("*").alias("n"))
-    joined = files.join(size, "repo")
-    part = F.when(F.col("n") > 10_000, F.concat("repo", F.lit(":"), F.split_part("relative_path", F.lit("/"), F.lit(1)))).otherwise(F.col("repo"))
-    return joined.select(part.alias("repo"), "lang", "file_id", "relative_path", "content")
+    """Files under their repository's one spelling."""
+    return t("repository_files").withColumn("repo", repository_key(F.col("repo_name"))).where("repo is not null").select("repo", "source", "lang", "file_id", "relative_path", "content")
 
 
 @query("q11_dependency_order")

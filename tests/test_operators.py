@@ -227,3 +227,26 @@ def test_clustered_mean_of_everything(spark):
     got = statistics.mean_with_error(frame, [], "v", "c").first()
     assert (got.n, got.mean, got.se) == (3, 2.0, 0.0) and "_all" not in got.asDict()
     assert statistics.mean_with_error(frame.limit(0), ["c"], "v", "c").count() == 0
+
+
+def test_samples_span_the_folders_of_a_large_repository(spark):
+    from millrace.plans.registry import QUERIES
+
+    made = [(f"f{i % 50}/m{i}.py", f"import f{(i + 1) % 50}.m{i + 1}\n" if i % 3 == 0 else "") for i in range(10_200)]
+    made += [("a/util.py", ""), ("b/util.py", "import util\n"), ("c/x.py", "import util\nimport util\n"), ("/d/y.py", "from . import z\n"), ("/d/z.py", ""), ("d/alone.py", "import os\n")]
+    frame = spark.createDataFrame([(i, "s", "Own/Pro" if i % 2 else "own/pro.git", p, x, "Python") for i, (p, x) in enumerate(made)], "file_id long, source string, repo_name string, relative_path string, content string, lang string")
+    frame = frame.union(spark.createDataFrame([(90_000, "s", "own/pro", "c/x.py", "", "Python"), (90_001, "s", "own/pro", None, "", "Python"), (90_002, "s", None, "q.py", "", "Python")], frame.schema))
+    path = files.scratch(spark, "large")
+    frame.repartition(6).write.mode("overwrite").parquet(f"{path}/repository_files.parquet")
+    import __spark_entry__  # noqa: F401
+
+    __spark_entry__.queries()
+    order = sorted(range(len(made)), key=lambda i: made[i][0])
+    links = graphs.edges([made[i][0] for i in order], [made[i][1] for i in order], "Python")
+    outgoing = [0] * len(made)
+    for a, _ in links:
+        outgoing[a] += 1
+    want = sorted(("own/pro", "Python", order[i], s, k, outgoing[i]) for s, group in enumerate(graphs.dependency_order(len(made), links)) for k, i in enumerate(group))
+    assert len(links) > 3_400
+    assert rows(QUERIES["q11_dependency_order"](spark, path)) == sorted(want, key=repr)
+    assert rows(QUERIES["j12_import_edges"](spark, path)) == sorted(((r[0], r[1], r[2], r[5]) for r in want if r[5]), key=repr)
