@@ -28,6 +28,13 @@ def path_comment(path: Column, body: Column, language: Column) -> Column:
     return F.when(language == "C++", F.concat(F.lit("// "), safe, extra, F.lit("\n"), text, F.lit("\n"))).otherwise(F.concat(F.lit("# "), safe, F.lit("\n"), text, F.lit("\n")))
 
 
+def file_text(path: Column, body: Column, language: Column) -> Column:
+    """A file as a part of a document: under its path comment, a C++ text ending in a backslash with one line end more, so
+    that it does not continue on the next file."""
+    extra = F.when((language == "C++") & F.endswith(F.regexp_replace(body, r"\n\z", ""), F.lit("\\")), F.lit("\n")).otherwise(F.lit(""))
+    return F.concat(path_comment(path, body, language), extra)
+
+
 def strip(text: Column) -> Column:
     """White space of any kind dropped at both ends."""
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")

@@ -140,24 +140,24 @@ def _keys(path: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("="), path)), ends)
 
 
-PLACED = "repo string, lang string, file_id long, least string, position int, imports int"
+PLACED = "repo string, lang string, file_id long, least string, least_id long, position int, imports int"
 
 
 def _place(files: list[tuple]) -> list[tuple]:
     """Rows of PLACED of one sample's (repo, lang, file_id, relative_path, uses, answers)."""
-    files = sorted(files, key=lambda f: f[3])
+    files = sorted(files, key=lambda f: (f[3], f[2]))
     members: dict[str, list[int]] = {}
     for i, f in enumerate(files):
         for key in f[5]:
             members.setdefault(key, []).append(i)
     # a name that many files use and many answer to stays two lists, never their product
     after = [[members[k] for k in f[4]] for f in files]
-    least, at = files[0][3], 0
+    least, at = (files[0][3], files[0][2]), 0
     out = []
     for part in strong_parts(len(files), lambda v: heapq.merge(*after[v])):
         for i in part:
             imports = len(set().union(*after[i]) - {i})
-            out.append((*files[i][:3], least, at, imports))
+            out.append((*files[i][:3], *least, at, imports))
             at += 1
     return out
 
@@ -179,12 +179,12 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(_place(files), columns=[c.split()[0] for c in PLACED.split(", ")])
 
 
-def samples(files: DataFrame, first: tuple[str, ...] = ("file_id",)) -> DataFrame:
+def samples(files: DataFrame, first: tuple[str, ...] = ("file_id",), one_per_path: bool = True) -> DataFrame:
     """(repo, lang, file_id, sample, position, imports) of rows (repo, lang, file_id, relative_path, content).
 
     A sample is a weakly connected group of a repository's files of one language, in dependency order; samples are
-    numbered by their least path. Of one path the first row by ``first`` counts; null paths and texts are left out.
-    file_id is unique.
+    numbered by their least path. Of one path the first row by ``first`` counts, or with ``one_per_path`` false every row;
+    null paths and texts are left out. file_id is unique.
 
     Imports are resolved over the whole repository, whatever its size: the keys they ask for are joined with the keys
     files answer to, a key's files hang on the least of them (so links are as many as names, not as pairs of files),
@@ -192,7 +192,9 @@ def samples(files: DataFrame, first: tuple[str, ...] = ("file_id",)) -> DataFram
     """
     whole = spread(files.where("relative_path is not null and content is not null"))
     asking = whole.select("repo", "lang", "relative_path", "file_id", F.struct(*first).alias("first"), wants("relative_path", "content", "lang").alias("wants"))
-    base = cut(asking.groupBy("repo", "lang", "relative_path").agg(F.min_by(F.struct("file_id", "wants"), "first").alias("f")).select("repo", "lang", "relative_path", "f.file_id", "f.wants"))
+    if one_per_path:
+        asking = asking.groupBy("repo", "lang", "relative_path").agg(F.min_by(F.struct("file_id", "wants"), "first").alias("f")).select("repo", "lang", "relative_path", "f.file_id", "f.wants")
+    base = cut(asking.select("repo", "lang", "relative_path", "file_id", "wants"))
     key = ["repo", "lang", "key"]
     asked = base.select("repo", "lang", "file_id", F.explode("wants").alias("w")).select("repo", "lang", "file_id", "w.item", "w.rank", "w.key")
     members = cut(base.select("repo", "lang", "file_id", F.explode(_keys(F.col("relative_path"))).alias("key")).join(asked.select(*key).distinct(), key, "left_semi"))
@@ -204,9 +206,22 @@ def samples(files: DataFrame, first: tuple[str, ...] = ("file_id",)) -> DataFram
     names = used.select("file_id", F.col("key").alias("use"), F.lit(None).cast("string").alias("answer")).unionByName(answering.select("file_id", F.lit(None).cast("string").alias("use"), F.col("key").alias("answer")))
     linked = components.withColumnRenamed("node", "file_id").join(names.groupBy("file_id").agg(F.collect_set("use").alias("uses"), F.collect_set("answer").alias("answers")), "file_id")
     rows = base.drop("wants").join(linked, "file_id", "left")
-    alone = rows.where("component is null").select("repo", "lang", "file_id", F.col("relative_path").alias("least"), F.lit(0).alias("position"), F.lit(0).alias("imports"))
+    alone = rows.where("component is null").select("repo", "lang", "file_id", F.col("relative_path").alias("least"), F.col("file_id").alias("least_id"), F.lit(0).alias("position"), F.lit(0).alias("imports"))
     together = rows.where("component is not null").select("component", "repo", "lang", "file_id", "relative_path", "uses", "answers").repartition("component").sortWithinPartitions("component").mapInPandas(_placed, PLACED)
-    ranked = global_rank(alone.unionByName(together).withColumn("first", F.when(F.col("position") == 0, 1).otherwise(0)), ["repo", "lang", "least", "position"], weight="first")
+    ranked = global_rank(alone.unionByName(together).withColumn("first", F.when(F.col("position") == 0, 1).otherwise(0)), ["repo", "lang", "least", "least_id", "position"], weight="first")
     begin = ranked.groupBy(F.col("repo").alias("_repo"), F.col("lang").alias("_lang")).agg(F.min("running").alias("begin"))
     numbered = ranked.join(begin, (F.col("repo") == F.col("_repo")) & (F.col("lang") == F.col("_lang")))
     return numbered.select("repo", "lang", "file_id", (F.col("running") - F.col("begin")).cast("int").alias("sample"), "position", "imports")
+
+
+def document_parts(placed: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, part, file_id, start, text): a document for each value of ``by`` (leading columns of repo, lang, sample) as
+    its files' texts in the order of ``placed`` (samples); joined by part they are the document, ``start`` is the
+    character where a part begins. ``texts`` has (file_id, text). No task holds a document: offsets come from lengths,
+    and each text is moved once.
+    """
+    sized = placed.select("repo", "lang", "sample", "position", "file_id").join(texts.select("file_id", F.length("text").cast("long").alias("n")), "file_id")
+    ranked = global_rank(sized, ["repo", "lang", "sample", "position"], weight="n")
+    begin = ranked.groupBy(*by).agg(F.min("rank").alias("_rank"), F.min(F.col("running") - F.col("n")).alias("_start"))
+    parts = ranked.join(begin, by).select(*by, (F.col("rank") - F.col("_rank")).cast("int").alias("part"), "file_id", (F.col("running") - F.col("n") - F.col("_start")).alias("start"))
+    return parts.join(texts.select("file_id", "text"), "file_id").select(*by, "part", "file_id", "start", "text")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions import text as X
 from millrace.functions.hashing import residue
+from millrace.functions.names import repository_key
 from millrace.operators import curation as C
+from millrace.operators import graphs
 from millrace.operators import sampling as S
 from millrace.operators.ranking import global_rank, ntile_of
 from millrace.plans.registry import query
@@ -106,6 +111,17 @@ def _(t):
     return files.groupBy("repo", "lang", "folder").agg(F.count("*").alias("files"), F.sha1(F.array_join(parts, "")).alias("digest"))
 
 
+@query("p11_sample_documents")
+def _(t):
+    """One document a sample of a source's repository, whatever its folders, as its files' texts in dependency order."""
+    files = t("repository_files").withColumn("repo", repository_key(F.col("repo_name"))).where("repo is not null and source is not null")
+    whole = files.select(F.concat("source", F.lit("\n"), "repo").alias("repo"), "lang", "file_id", "relative_path", "content")
+    texts = files.select("file_id", X.file_text(F.col("relative_path"), F.col("content"), F.col("lang")).alias("text"))
+    parts = graphs.document_parts(graphs.samples(whole, one_per_path=False), texts, ["repo", "lang", "sample"])
+    place = F.split("repo", "\n", 2)
+    return parts.withColumns({"source": place[0], "repo": place[1]}).select("source", "repo", "lang", "sample", "part", "file_id", "start", "text")
+
+
 @query("w01_keep_first", f"select doc_id, id from (select doc_id, id, row_number() over (partition by id order by keep_order, doc_id) as n from {STANDARD} join source_catalog using (source) where text is not null) where n = 1 and id <> sha1('')")
 def _(t):
     rows = standardized(t).where("text is not null").select("doc_id", "id", "source").join(F.broadcast(t("source_catalog").select("source", "keep_order")), "source")
@@ -307,6 +323,28 @@ def _(t):
     return foldered(t).groupBy("repo_name", "folder").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"))
 
 
+@query("s29_tree_digest")
+def _(t):
+    """SHA-256 of each repository's whole tree: path, NUL, content, NUL in path order. Parts are hashed as they come by,
+    sorted on disk, so a tree of any size is read by one task but held by none."""
+    def digest(batches):
+        name, state = None, None
+        for batch in batches:
+            done = []
+            for repo, path, content in zip(batch["repo_name"], batch["path"], batch["content"]):
+                if repo != name:
+                    if state is not None:
+                        done.append((name, state.hexdigest()))
+                    name, state = repo, hashlib.sha256()
+                state.update(path.encode() + b"\0" + content.encode() + b"\0")
+            yield pd.DataFrame(done, columns=["repo_name", "digest"])
+        if state is not None:
+            yield pd.DataFrame([(name, state.hexdigest())], columns=["repo_name", "digest"])
+
+    parts = foldered(t).select("repo_name", "path", "file_id", F.coalesce("content", F.lit("")).alias("content"))
+    return parts.repartition("repo_name").sortWithinPartitions("repo_name", "path", "file_id").mapInPandas(digest, "repo_name string, digest string")
+
+
 @query("s30_layout", "select distinct source || '/' || case when (md5_number(group_key) % 100)::bigint = 0 then 'val' else 'train' end || '/' || (md5_number(group_key) % 10)::bigint || '.parquet' as path from documents where group_key is not null")
 def _(t):
     g = F.col("group_key")

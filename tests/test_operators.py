@@ -250,3 +250,36 @@ def test_samples_span_the_folders_of_a_large_repository(spark):
     assert len(links) > 3_400
     assert rows(QUERIES["q11_dependency_order"](spark, path)) == sorted(want, key=repr)
     assert rows(QUERIES["j12_import_edges"](spark, path)) == sorted(((r[0], r[1], r[2], r[5]) for r in want if r[5]), key=repr)
+
+
+def written(spark, name, **tables):
+    path = files.scratch(spark, name)
+    for table, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{path}/{table}.parquet")
+    return path
+
+
+FILES = "file_id long, source string, repo_name string, relative_path string, content string, lang string"
+
+
+def test_documents_and_digests_span_folders(spark):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    data = [(1, "s", "o/p", "a/one.py", "import lib.two\n", "Python"), (2, "s", "O/P", "lib/two.py", "x = 1", "Python"), (3, "s", "o/p", "z/three.py", "", "Python"), (4, "r", "o/p", "lib/two.py", "y = 2\n", "Python"), (5, "s", "o/p", "lib/two.py", "x = 2", "Python"),
+            (6, "s", "o/p", "m/a.cpp", '#include "b.h"\n', "C++"), (7, "s", "o/p", "n/b.h", "#define B \\", "C++"), (8, "s", "o/p", None, None, "C++")]
+    path = written(spark, "documents", repository_files=(data, FILES))
+    got = {}
+    for r in sorted(entry.queries()["p11_sample_documents"](spark, path).collect(), key=lambda r: r.part):
+        text = got.get((r.source, r.repo, r.lang, r.sample), "")
+        assert r.start == len(text)
+        got[r.source, r.repo, r.lang, r.sample] = text + r.text
+    assert got == {
+        ("s", "o/p", "Python", 0): "# lib/two.py\nx = 1\n# lib/two.py\nx = 2\n# a/one.py\nimport lib.two\n", ("s", "o/p", "Python", 1): "# z/three.py\n\n", ("r", "o/p", "Python", 0): "# lib/two.py\ny = 2\n",
+        ("s", "o/p", "C++", 0): '// n/b.h\n#define B \\\n\n// m/a.cpp\n#include "b.h"\n',
+    }
+    want = {}
+    for _, _, repo, place, text, _ in sorted(data, key=lambda d: (d[3] or "", d[0])):
+        want.setdefault(repo, hashlib.sha256()).update((place or "").encode() + b"\0" + (text or "").encode() + b"\0")
+    assert rows(entry.queries()["s29_tree_digest"](spark, path)) == sorted((k, v.hexdigest()) for k, v in want.items())
