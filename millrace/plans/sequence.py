@@ -139,6 +139,16 @@ def _(t):
     return first.groupBy("repo").agg(F.count("*").alias("files"), F.sum("chars").alias("chars"))
 
 
+@query("q15_document_parts")
+def _(t):
+    """The document of each repository and language over all its sources: of a path the first source's file, files in the
+    order of the samples, as parts with offsets."""
+    order = F.broadcast(t("source_catalog").select("source", "keep_order"))
+    files = repository_files(t).join(order, "source")
+    texts = files.select("file_id", X.file_text(F.col("relative_path"), F.col("content"), F.col("lang")).alias("text"))
+    return graphs.document_parts(graphs.samples(files, ("keep_order", "file_id")), texts, ["repo", "lang"])
+
+
 @query("q16_trailing_parts", "select lang, part, n from (select *, coalesce(sum(n) over (partition by lang order by part desc rows between unbounded preceding and 1 preceding), 0) as after_ from (select lang, (md5_number(file_id::varchar) % 20)::bigint as part, sum(length(content))::bigint as n from repository_files where content is not null group by 1, 2)) where after_ < 200000")
 def _(t):
     parts = t("repository_files").where("content is not null").groupBy("lang", residue(F.col("file_id").cast("string"), 20).alias("part")).agg(F.sum(F.length("content")).alias("n"))

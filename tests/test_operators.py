@@ -283,3 +283,16 @@ def test_documents_and_digests_span_folders(spark):
     for _, _, repo, place, text, _ in sorted(data, key=lambda d: (d[3] or "", d[0])):
         want.setdefault(repo, hashlib.sha256()).update((place or "").encode() + b"\0" + (text or "").encode() + b"\0")
     assert rows(entry.queries()["s29_tree_digest"](spark, path)) == sorted((k, v.hexdigest()) for k, v in want.items())
+
+
+def test_repository_documents_by_language(spark):
+    import __spark_entry__ as entry
+
+    data = [(1, "late", "o/p", "a.py", "old\n", "Python"), (2, "early", "O/P.git", "a.py", "import b\n", "Python"), (3, "late", "o/p", "x/b.py", "b = 1\n", "Python"), (4, "late", "o/p", "b.h", "int b;\n", "C++"),
+            (5, "late", "o/p", "a.c", "int a;\n", "C++"), (6, "late", "o/q", "a.py", "q\n", "Python"), (7, "early", "o/q", "a.py", None, "Python"), (8, "late", None, "a.py", "q\n", "Python")]
+    path = written(spark, "merged", repository_files=(data, FILES), source_catalog=([("early", 1), ("late", 2)], "source string, keep_order int"))
+    found = sorted(entry.queries()["q15_document_parts"](spark, path).collect(), key=lambda r: (r.repo, r.lang, r.part))
+    assert [tuple(r) for r in found] == [
+        ("o/p", "C++", 0, 5, 0, "// a.c\nint a;\n"), ("o/p", "C++", 1, 4, 14, "// b.h\nint b;\n"),
+        ("o/p", "Python", 0, 3, 0, "# x/b.py\nb = 1\n"), ("o/p", "Python", 1, 2, 15, "# a.py\nimport b\n"), ("o/q", "Python", 0, 6, 0, "# a.py\nq\n"),
+    ]
