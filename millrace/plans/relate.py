@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.operators import lookups as L
+from millrace.operators import vectors as V
 from millrace.operators.sampling import GOLDEN, weyl_choice
 from millrace.plans.registry import query
 
@@ -233,6 +234,12 @@ def _(t):
     return t("embeddings").select("vec_id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+@query("ext_vector_neighbours")
+def _(t):
+    """The ten best rows for every row whose vec_id is divisible by 20, over all rows (itself among them)."""
+    return V.nearest(t("embeddings"), F.col("vec_id") % 20 == 0, "vec_id", "embedding", 10)
+
+
 @query("ext_q1", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as quantity, round(sum(l_extendedprice), 2) as base, round(sum(l_extendedprice * (1 - l_discount)), 2) as discounted, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as charge, round(avg(l_discount), 6) as discount, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
 def _(t):
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))

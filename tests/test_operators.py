@@ -296,3 +296,22 @@ def test_repository_documents_by_language(spark):
         ("o/p", "C++", 0, 5, 0, "// a.c\nint a;\n"), ("o/p", "C++", 1, 4, 14, "// b.h\nint b;\n"),
         ("o/p", "Python", 0, 3, 0, "# x/b.py\nb = 1\n"), ("o/p", "Python", 1, 2, 15, "# a.py\nimport b\n"), ("o/q", "Python", 0, 6, 0, "# a.py\nq\n"),
     ]
+
+
+def test_neighbours_of_every_query_row(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from millrace.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    draw = random.Random(3)
+    data = [(i, [draw.choice([0.0, 0.5, 1.0, 0.1]) for _ in range(4)]) for i in range(1, 130)] + [(200, None)]
+    path = written(spark, "vectors", embeddings=(data, "vec_id long, embedding array<float>"))
+    known = {i: v for i, v in data if v}
+    want = []
+    for q in range(20, 130, 20):
+        scored = sorted((-round(sum(a * b for a, b in zip(known[q], v)), 4), i) for i, v in known.items())
+        want += [(q, i, -s) for s, i in scored[:10]]
+    got = [(q, i, round(s, 4) + 0.0) for q, i, s in rows(entry.queries()["ext_vector_neighbours"](spark, path))]
+    assert sorted(got) == sorted((q, i, round(s, 4) + 0.0) for q, i, s in want)
+    none = written(spark, "novectors", embeddings=([(1, [1.0])], "vec_id long, embedding array<float>"))
+    assert entry.queries()["ext_vector_neighbours"](spark, none).count() == 0
