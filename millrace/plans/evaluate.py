@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators import sequences as Q
 from millrace.operators import statistics as S
 from millrace.plans.registry import query
+from millrace.session import spread
 
 Z = repr(S.Z)
 
@@ -254,6 +256,13 @@ def _(t):
     return per.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where("n >= 50")
 
 
+@query("a36_piece_counts")
+def _(t):
+    """Every piece of the split pattern with its count and sources, rare ones too. No statement, as in q02."""
+    per = Q.piece_counts(spread(t("documents").select("source", "text")), "text", "source")
+    return per.groupBy("piece").agg(F.sum("n").alias("n"), F.count_distinct("source").alias("sources"))
+
+
 @query("a37_attended_keys", "select source, sum(case when n_chars <= 512 then n_chars * (n_chars + 1) // 2 else 512 * 513 // 2 + (n_chars - 512) * 513 end)::bigint as keys from documents group by 1")
 def _(t):
     keys = F.expr("least(n_chars, 512L) * (least(n_chars, 512L) + 1) div 2 + (n_chars - least(n_chars, 512L)) * 513")

@@ -37,6 +37,13 @@ def _(t):
     return per.withColumn("score", F.round(F.col("f") * F.log("r"), 6)).orderBy(F.desc("score"), F.desc("f"), "a", "b").limit(100)
 
 
+@query("q02_piece_pair_scores")
+def _(t):
+    """Scores of all byte pairs over all pieces of the split pattern, pairs of one source (score 0) among them. No
+    statement: RE2 has neither the pattern's lookahead nor its possessive repeats."""
+    return Q.pair_scores(Q.piece_counts(spread(t("documents").select("source", "text")), "text", "source"))
+
+
 def pieces(t, window=512):
     cut = Q.piece_cutter(t.spark, Q.vocabulary(t("tokenizer_vocab")), window)
     texts = spread(t("documents").where("text is not null").select("doc_id", "source", "lang", "text"))

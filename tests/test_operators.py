@@ -315,3 +315,22 @@ def test_neighbours_of_every_query_row(spark, monkeypatch):
     assert sorted(got) == sorted((q, i, round(s, 4) + 0.0) for q, i, s in want)
     none = written(spark, "novectors", embeddings=([(1, [1.0])], "vec_id long, embedding array<float>"))
     assert entry.queries()["ext_vector_neighbours"](spark, none).count() == 0
+
+
+def test_pieces_and_pairs_are_counted_whole(spark):
+    import __spark_entry__ as entry
+
+    data = [("a", "Über die Brücke, 1234 x's\n"), ("b", "für Élan  a+b\r\n\tif x:"), ("a", "für für"), ("c", None), ("c", "")]
+    path = written(spark, "pieces", documents=(data, "source string, text string"))
+    pieces = {r.piece: (r.n, r.sources) for r in entry.queries()["a36_piece_counts"](spark, path).collect()}
+    assert pieces["für"] == (2, 2) and pieces[" für"] == (1, 1) and pieces["12"] == pieces["34"] == pieces["Über"] == (1, 1)
+    assert sum(len(p) * n for p, (n, _) in pieces.items()) == sum(len(x or "") for _, x in data)
+    per = {(r.piece, r.source): r.n for r in sequences.piece_counts(spark.read.parquet(f"{path}/documents.parquet"), "text", "source").collect()}
+    f, where = {}, {}
+    for (piece, source), n in per.items():
+        raw = piece.encode()
+        for pair in zip(raw, raw[1:]):
+            f[pair] = f.get(pair, 0) + n
+            where.setdefault(pair, set()).add(source)
+    got = {(r.a, r.b): (r.f, r.r) for r in entry.queries()["q02_piece_pair_scores"](spark, path).collect()}
+    assert got == {p: (f[p], len(where[p])) for p in f} and (0xC3, 0xBC) in got
