@@ -82,19 +82,29 @@ def _(t):
     return packed.select("shard", "rows", F.round(F.col("tokens") / (F.col("rows") * 2048), 6).alias("filled"))
 
 
+def packed_completions(t, capacity=4096):
+    """(shard, completion_id, piece, size, row) in tokens: a text longer than a row is whole rows and a rest, its pieces in
+    order; a piece may not be told from another of its size before it is packed."""
+    encode = Q.encoder(t.spark, Q.vocabulary(t("tokenizer_vocab")))
+    sized = spread(t("completions").where("text is not null").select("completion_id", "text")).select("completion_id", F.size(encode("text")).alias("n"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity))
+    cut = sized.select("completion_id", "n", F.explode(starts).alias("start"), residue(F.col("completion_id").cast("string"), 8).alias("shard"))
+    packed = Q.pack_shards(cut.withColumn("size", F.least(F.col("n") - F.col("start"), F.lit(capacity))), "shard", "completion_id", "size", capacity, most=255)
+    order = Window.partitionBy("shard", "completion_id").orderBy(F.desc("size"), "row")
+    return packed.withColumn("piece", F.row_number().over(order) - 1)
+
+
 @query("q07_first_fit")
 def _(t):
-    rows = t("completions").where("text is not null").select("completion_id", F.least(F.length("text"), F.lit(4096)).alias("size"), residue(F.col("completion_id").cast("string"), 8).alias("shard"))
-    return Q.pack_shards(rows, "shard", "completion_id", "size", 4096, most=255)
+    return packed_completions(t).select("shard", "completion_id", "piece", "size", "row")
 
 
 @query("q20_packed_rollouts")
 def _(t):
     """Packed rows with each sequence's bounds and its first trained position."""
-    rows = t("completions").where("text is not null").select("completion_id", F.least(F.length("text"), F.lit(4096)).alias("size"), residue(F.col("completion_id").cast("string"), 8).alias("shard"))
-    w = Window.partitionBy("shard", "row").orderBy("completion_id").rowsBetween(Window.unboundedPreceding, 0)
-    packed = Q.pack_shards(rows, "shard", "completion_id", "size", 4096, most=255)
-    return packed.withColumn("stop", F.sum("size").over(w)).select("shard", "row", "completion_id", (F.col("stop") - F.col("size")).alias("start"), "stop")
+    w = Window.partitionBy("shard", "row").orderBy("completion_id", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    packed = packed_completions(t)
+    return packed.withColumn("stop", F.sum("size").over(w)).select("shard", "row", "completion_id", "piece", (F.col("stop") - F.col("size")).alias("start"), "stop")
 
 
 @query("q08_row_assembly", "select doc_id, array_to_string([-1] || w[1:5] || w[6:9], ',') as ids, array_to_string([0, 0, 0, 0, 0, 0] || list_transform(w[6:9], lambda x: 1), ',') as mask from (select doc_id, list_transform(range(0, 9), lambda i: (doc_id * 31 + i) % 1000) as w from documents)")

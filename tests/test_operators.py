@@ -334,3 +334,21 @@ def test_pieces_and_pairs_are_counted_whole(spark):
             where.setdefault(pair, set()).add(source)
     got = {(r.a, r.b): (r.f, r.r) for r in entry.queries()["q02_piece_pair_scores"](spark, path).collect()}
     assert got == {p: (f[p], len(where[p])) for p in f} and (0xC3, 0xBC) in got
+
+
+def test_long_completions_are_packed_whole(spark):
+    import base64
+
+    import __spark_entry__ as entry
+
+    vocabulary = [(i, base64.b64encode(bytes([i])).decode()) for i in range(256)]
+    texts = {1: "ab " * 3000, 2: "x", 3: "", 4: "yz" * 2048, 5: None, 6: "ü" * 10}
+    path = written(spark, "completions", completions=(list(texts.items()), "completion_id long, text string"), tokenizer_vocab=(vocabulary, "token_rank int, token_b64 string"))
+    found = entry.queries()["q07_first_fit"](spark, path).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r.piece):
+        got.setdefault(r.completion_id, []).append(r.size)
+    assert got == {1: [4096, 4096, 808], 2: [1], 3: [0], 4: [4096], 6: [20]}
+    bounds = entry.queries()["q20_packed_rollouts"](spark, path).collect()
+    assert sorted((r.completion_id, r.piece, r.stop - r.start) for r in bounds) == sorted((i, k, n) for i, sizes in got.items() for k, n in enumerate(sizes))
+    assert all(r.stop <= 4096 for r in bounds)
