@@ -176,9 +176,19 @@ from (select doc_id, lang, id, (md5_number(id) % 100)::bigint as residue, row_nu
 @query("flagship_curate", f"select coalesce(lang, 'none') as lang, count(*) filter (fate = 'kept') as kept, count(*) filter (fate = 'duplicate') as duplicate, count(*) filter (fate = 'contaminated') as contaminated, count(*) filter (fate = 'val') as val from {_CURATED} group by 1")
 def flagship(t):
     """Standardize, drop repeats in source priority, split by hash, and drop benchmark overlap outside validation."""
+    return curated(t, residue(F.col("id")) == 0)
+
+
+@query("flagship_curate_groups")
+def _(t):
+    """The same with the split by the hash of the group, so that a group is on one side; null groups are in training."""
+    return curated(t, C.hash_split(F.col("group_key")) == "val")
+
+
+def curated(t, val):
     rows, bad = dropped(t)
-    langs = t("documents").select("doc_id", "lang")
-    fate = F.when(F.col("bad"), "duplicate").when(residue(F.col("id")) == 0, "val").when(F.col("items").isNotNull(), "contaminated").otherwise("kept")
+    langs = t("documents").select("doc_id", "lang", "group_key")
+    fate = F.when(F.col("bad"), "duplicate").when(val, "val").when(F.col("items").isNotNull(), "contaminated").otherwise("kept")
     marked = rows.join(bad.withColumn("bad", F.lit(True)), ["keep_order", "doc_id"], "left").join(langs, "doc_id").join(overlapping(t), "doc_id", "left").withColumn("fate", fate)
     return marked.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(*[F.count_if(F.col("fate") == f).alias(f) for f in ("kept", "duplicate", "contaminated", "val")])
 

@@ -352,3 +352,16 @@ def test_long_completions_are_packed_whole(spark):
     bounds = entry.queries()["q20_packed_rollouts"](spark, path).collect()
     assert sorted((r.completion_id, r.piece, r.stop - r.start) for r in bounds) == sorted((i, k, n) for i, sizes in got.items() for k, n in enumerate(sizes))
     assert all(r.stop <= 4096 for r in bounds)
+
+
+def test_curation_keeps_a_group_on_one_side(spark):
+    import hashlib
+
+    import __spark_entry__ as entry
+
+    side = lambda g: int.from_bytes(hashlib.md5(g.encode()).digest(), "little") % 100 == 0
+    held = next(g for g in map(str, range(9999)) if side(g))
+    data = [(i, "s", "Python", f"text {i}", held if i < 20 else "other" if i < 40 else None) for i in range(60)]
+    assert not side("other")
+    path = written(spark, "groups", documents=(data, "doc_id long, source string, lang string, text string, group_key string"), source_catalog=([("s", 1)], "source string, keep_order int"), benchmark=([(1, "none")], "item_id long, text string"))
+    assert [r.asDict() for r in entry.queries()["flagship_curate_groups"](spark, path).collect()] == [{"lang": "Python", "kept": 40, "duplicate": 0, "contaminated": 0, "val": 20}]
