@@ -2,6 +2,7 @@ import ast
 import random
 import warnings
 
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import lexers, syntax
@@ -91,6 +92,13 @@ def test_python_against_the_interpreter(seed):
     assert (lexers.parser("Python").read(lexers.python_stretches(pieces)) == (-1, True)) == valid(pieces)
 
 
+def test_no_difference_on_the_programs_of_the_tables():
+    folder = "/root/testdata/sf0.01"
+    texts = [t for name, text in (("repository_files", "content"), ("code_functions", "content"), ("completions", "text")) for t in pq.read_table(f"{folder}/{name}.parquet", columns=[text], filters=[("lang", "=", "Python")])[text].to_pylist() if t is not None]
+    different = [t for t in set(map(lexers.normalized, texts)) if (syntax.verdict(t, "Python")[0] == "valid") != valid(t)]
+    assert len(texts) > 1000 and different == []
+
+
 def test_derivatives_of_an_ambiguous_language():
     kinds = {"a": 1, "b": 2}
     language = Language("s = 'a' s 'b' | 'a'* ;\n", "s", kinds)
