@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from millrace.llm.tokens import spread
 
 #: Words in a pattern; a passage needs WORDS of its item's words in order, of which at least DENSE stand unchanged;
-#: GAP is the longest run of changed words inside a passage.
-SEED, WORDS, DENSE, GAP = 3, 11, 0.6, 4
+#: GAP is the longest run of changed words inside a passage, LONG the length of a changed word.
+SEED, WORDS, DENSE, GAP, LONG = 3, 11, 0.6, 4, 14
 #: A pattern in this many items, or in this share of its benchmark's items, is a standing instruction, not an item's own.
 SHARED, SHARED_PART = 3, 0.02
 
@@ -123,7 +123,14 @@ class Items:
 
 
 def chain(hits: list[tuple[int, int, int]], starts: list[int]) -> tuple[int, int, int, int] | None:
-    """(words matched, words spanned, start, end) of the best chain of (stream start, word position, stream end) hits."""
+    """(words matched, words spanned, start, end) of the best chain of (stream start, word position, stream end) hits.
+
+    Hits on one diagonal are a run. A run may follow another if it skips at most GAP words of the item and the stream
+    between them has room for about as many words: each skipped word may have become one of up to LONG characters, or
+    one such word have been put in. More than one skipped word need longer runs on both sides, and a chain with such a
+    gap WORDS - 1 words in all. So what a chain holds stands in the text as it stands in the item, changed words
+    aside; words that only occur near each other do not chain.
+    """
     runs: list[list[int]] = []  # word from, word to, start, end
     open_: dict[int, list[int]] = {}
     for start, p, end in sorted(hits):
@@ -135,25 +142,30 @@ def chain(hits: list[tuple[int, int, int]], starts: list[int]) -> tuple[int, int
             open_[diagonal] = run = [p, p + SEED, start, end]
             runs.append(run)
     runs.sort(key=lambda r: (r[2], r[0]))
-    states: list[tuple[int, int, int]] = []  # matched, first word, start
+    states: list[tuple[int, int, int, bool]] = []  # matched, first word, start, wide gap
     best = None
     low = 0
+    longest = max((e - s for _, _, s, e in runs), default=0) + LONG * (GAP + 1)
     for k, (a, b, s, e) in enumerate(runs):
-        state = (b - a, a, s)
-        while low < k and runs[low][3] < s - 12 * (GAP + 1) and runs[low][2] < s - 4000:
+        state = (b - a, a, s, False)
+        while low < k and runs[low][2] < s - longest:
             low += 1
         for j in range(low, k):
             pa_, pb, ps, pe = runs[j]
-            overlap = max(0, pb - a, 0)
             gap = a - pb
-            if pb < b and pa_ < a and gap <= GAP and overlap <= 2 and s >= pe - 40 * (overlap > 0) and s - pe <= (starts[a] - starts[min(pb, len(starts) - 1)] if gap > 0 else 0) + 12 * (GAP - max(0, gap - 1)):
+            if pa_ >= a or pb >= b or gap > GAP or gap > 1 and min(b - a, pb - pa_) < gap + 2:
+                continue
+            if gap < 0:  # both runs hold the same words of the item: they must be the same in the text, a word put in aside
+                fits = gap >= 1 - SEED and starts[pb] - starts[a] >= pe - s >= starts[pb] - starts[a] - LONG
+            else:
+                fits = 0 <= s - pe <= max(starts[a] - starts[pb], LONG)
+            if fits:
                 grown = states[j][0] + b - max(a, pb)
                 if grown > state[0]:
-                    state = (grown, states[j][1], states[j][2])
+                    state = (grown, states[j][1], states[j][2], states[j][3] or gap > 1)
         states.append(state)
-        candidate = (state[0], b - state[1], state[2], e)
-        if best is None or candidate[0] > best[0]:
-            best = candidate
+        if (best is None or state[0] > best[0]) and not (state[3] and state[0] < WORDS - 1):
+            best = (state[0], b - state[1], state[2], e)
     return best
 
 

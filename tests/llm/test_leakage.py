@@ -1,3 +1,7 @@
+import random
+
+import pyarrow.parquet as pq
+
 from millrace.llm import leakage
 
 STATEMENT = "Vebrozan of Kudruden keeps 1358 skipefons beside the sudden value, slowly guarded by large result. Given parallel axle, nidrugrer and 43 dial skipefons, fold vivid jar."
@@ -34,6 +38,25 @@ def test_no_passages():
     assert leakage.Items([]).passages("x") == [] and leakage.Items([(1, "b", "")]).passages("x") == []
 
 
+def test_order_counts_and_changed_words_do_not():
+    rows = pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pylist()
+    items = leakage.Items(sorted((r["item_id"], r["benchmark_name"] or "", r["text"]) for r in rows))
+    shuffled = changed = pieces = 0
+    for seed in range(2):
+        for r in rows:
+            rng = random.Random(seed * 1000 + r["item_id"])
+            words = r["text"].split()
+            half = words[len(words) // 2 :]
+            rng.shuffle(half)
+            shuffled += r["item_id"] in found(" ".join(half), items)
+            other = [rng.choice(["house", "tree", "of", "notwithstanding"]) if i % 4 == seed else w for i, w in enumerate(words)]
+            changed += r["item_id"] in found(" ".join(other), items)
+            piece = words[len(words) // 2 :][:12]
+            piece[5] = "house"
+            pieces += r["item_id"] in found("so " + " ".join(piece) + " so", items)
+    assert (shuffled, changed, pieces) == (0, 2 * len(rows), 2 * len(rows))
+
+
 def test_operator_maps_offsets(spark):
     text = "é“x” ﬁ " + STATEMENT.replace("value", "ｖａｌｕｅ") + " end"
     docs = spark.createDataFrame([(1001, text, 1), (1002, None, 1), (1003, "", 1), (1001, text, 1), (1004, STATEMENT + "y" * 200_000, 1)], "doc_id long, text string, item_id int")
