@@ -1,13 +1,17 @@
 """Rows of a fixed token length, filled by swap-based local search.
 
-Documents meet in hashed blocks of about ``ROWS`` rows. Inside a block they are first fitted in hash order; then the
-emptiest row gives its documents away, by moves, one-for-one exchanges and two-for-one exchanges with fuller rows. Every
-such step raises the sum of squared fills, so the donor only empties; an empty row is dropped and the next one gives.
-Only a text longer than a row is cut: into whole rows and one rest, which is placed like any document.
+Documents meet in hashed blocks of about ``ROWS`` rows. Inside a block they are placed twice, first fit in hash order and
+best fit by size; from either start the search lets rows give their documents to rows at least as full, the emptiest
+first: by moves, one-for-one, two-for-one and one-for-two exchanges, over all documents of both rows. Every step raises
+the sum of squared fills, so it ends; a row that empties is dropped. When no row can give anything, the better of the
+two results is kept, so there are never more rows than best fit alone makes. Only a text longer than a row is cut: into
+whole rows and one rest, which is placed like any document.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +32,7 @@ class Bins:
         self.gap = np.zeros(0, dtype=np.int64)
 
     def first_fit(self) -> None:
+        """In the order given, the first row that has room."""
         gaps = np.full(max(1, len(self.sizes)), self.capacity, dtype=np.int64)
         used = low = 0
         for item, size in enumerate(self.sizes.tolist()):
@@ -43,94 +48,127 @@ class Bins:
                 low += 1
         self.gap = gaps[:used].copy()
 
-    def put(self, item: int, to: int) -> None:
-        self.gap[self.bin[item]] += self.sizes[item]
-        self.gap[to] -= self.sizes[item]
-        self.bin[item] = to
-
-    def improve(self, donor: int, alive: np.ndarray, tried: set) -> bool:
-        """One step that takes from the donor row; False if no move or exchange raises the squared fills."""
-        mine = np.flatnonzero(self.bin == donor)
-        mine = mine[np.argsort(-self.sizes[mine], kind="stable")]
-        gap = np.where(alive, self.gap, -1)
-        gap[donor] = -1
-        most = int(gap.max(initial=-1))
-        if most <= 0:
-            return False
-        for item in mine.tolist():  # move: the tightest row that takes it
+    def best_fit(self) -> None:
+        """Large items first, each into the row it fills best."""
+        gaps: list[tuple[int, int]] = []  # of the rows with room, ascending
+        used = 0
+        for item in np.argsort(-self.sizes, kind="stable").tolist():
             size = int(self.sizes[item])
-            if size <= most:
-                self.put(item, int(np.argmin(np.where(gap >= size, gap, self.capacity + 1))))
-                return True
-        others = np.flatnonzero((self.bin != donor) & (gap[self.bin] > 0))
+            at = bisect.bisect_left(gaps, (size, -1))
+            if at == len(gaps):
+                gap, row, used = self.capacity, used, used + 1
+            else:
+                gap, row = gaps.pop(at)
+            self.bin[item] = row
+            if gap > size:
+                bisect.insort(gaps, (gap - size, row))
+        self.gap = np.zeros(used, dtype=np.int64)
+        for gap, row in gaps:
+            self.gap[row] = gap
+
+    def put(self, to: int, *items: int) -> None:
+        for item in items:
+            self.gap[self.bin[item]] += self.sizes[item]
+            self.gap[to] -= self.sizes[item]
+            self.bin[item] = to
+
+    def give(self, donor: int) -> bool:
+        """One step that moves tokens from the donor to a row at least as full; False if there is none."""
+        mine = np.flatnonzero(self.bin == donor)
+        # of equal sizes one stands for all; a pair may need two of them
+        own, first, count = np.unique(-self.sizes[mine], return_index=True, return_counts=True)
+        own, mine, second = -own, mine[first], self._second(mine, count)
+        room = np.where(self.gap <= self.gap[donor], self.gap, 0)
+        room[donor] = 0
+        moved = np.flatnonzero(own <= room.max(initial=0))
+        if moved.size:  # the largest that fits anywhere, into the tightest row that takes it
+            at = moved[0]
+            self.put(int(np.argmin(np.where(room >= own[at], room, self.capacity + 1))), int(mine[at]))
+            return True
+        others = np.flatnonzero(room[self.bin] > 0)
         if not others.size:
             return False
-        size, room = self.sizes[others], gap[self.bin[others]]
-        for item in mine.tolist():  # one for one: the largest gain that fits
-            gain = int(self.sizes[item]) - size
-            fit = np.where((gain > 0) & (gain <= room), gain, 0)
-            best = int(np.argmax(fit))
-            if fit[best]:
-                back, to = int(others[best]), int(self.bin[others[best]])
-                self.put(back, donor)
-                self.put(item, to)
+        size, space = self.sizes[others], room[self.bin[others]]
+        order = np.argsort(size + space, kind="stable")
+        reach = (size + space)[order]
+        # from each place on, the least size whose row can take up to reach in its stead
+        least = np.minimum.accumulate(size[order][::-1])[::-1]
+        one, two = np.triu_indices(len(own))
+        paired = (one != two) | (second[one] >= 0)
+        one, two = one[paired], two[paired]
+        for sums, given in ((own, [(int(m),) for m in mine]), (own[one] + own[two], None)):
+            at = np.searchsorted(reach, sums)
+            gain = np.where(at < len(least), sums - least[np.minimum(at, len(least) - 1)], 0)
+            best = int(np.argmax(gain)) if gain.size else 0
+            if gain.size and gain[best] > 0:
+                back = int(others[order[at[best] + int(np.argmin(size[order[at[best] :]]))]])
+                a, b = (best, best) if given else (int(one[best]), int(two[best]))
+                items = given[best] if given else (int(mine[a]), int(mine[b] if a != b else second[a]))
+                to = int(self.bin[back])
+                self.put(donor, back)
+                self.put(to, *items)
                 return True
-        for k, one in enumerate(mine.tolist()[:40]):  # two for one: a pair of the donor against one of the others
-            for two in mine.tolist()[k + 1 : 40]:
-                gain = int(self.sizes[one] + self.sizes[two]) - size
-                fit = np.where((gain > 0) & (gain <= room), gain, 0)
-                best = int(np.argmax(fit))
-                if fit[best]:
-                    back, to = int(others[best]), int(self.bin[others[best]])
-                    self.put(back, donor)
-                    self.put(one, to)
-                    self.put(two, to)
-                    return True
-        # one of the donor against a pair: neighbours in size within one row
+        return self._one_for_two(donor, own, mine, others, size, space)
+
+    def _second(self, mine: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Another item of each distinct size, largest first; -1 without one."""
+        ordered = mine[np.argsort(-self.sizes[mine], kind="stable")]
+        begin = np.cumsum(count) - count
+        return np.where(count > 1, ordered[np.minimum(begin + 1, len(ordered) - 1)], -1)
+
+    def _one_for_two(self, donor: int, own: np.ndarray, mine: np.ndarray, others: np.ndarray, size: np.ndarray, space: np.ndarray) -> bool:
+        """A donor's item against two of one row: for each item of a row the least partner with which both are enough."""
         order = np.lexsort((size, self.bin[others]))
-        rows, sorted_size, sorted_room = self.bin[others][order], size[order], room[order]
-        same = rows[:-1] == rows[1:]
-        pair = np.where(same, sorted_size[:-1] + sorted_size[1:], self.capacity * 2)
-        for item in mine.tolist():
-            gain = int(self.sizes[item]) - pair
-            fit = np.where((gain > 0) & (gain <= sorted_room[:-1]), gain, 0)
-            if fit.size and fit.max():
-                best = int(np.argmax(fit))
-                first, second, to = int(others[order[best]]), int(others[order[best + 1]]), int(rows[best])
-                self.put(first, donor)
-                self.put(second, donor)
-                self.put(item, to)
+        others, size, space = others[order], size[order], space[order]
+        row, place = self.bin[others], np.arange(len(others))
+        keys = row * (self.capacity + 1) + size
+        for item, given in zip(own.tolist(), mine.tolist()):
+            partner = np.searchsorted(keys, row * (self.capacity + 1) + np.maximum(item - space - size, 0))
+            partner = np.where(partner == place, partner + 1, partner)
+            inside = np.minimum(partner, len(keys) - 1)
+            pair = size + size[inside]
+            fits = (partner < len(keys)) & (row[inside] == row) & (pair < item) & (pair + space >= item)
+            if fits.any():
+                best = int(np.argmax(np.where(fits, item - pair, 0)))
+                to = int(row[best])
+                self.put(donor, int(others[best]), int(others[inside[best]]))
+                self.put(to, given)
                 return True
         return False
 
     def search(self) -> None:
-        alive = np.ones(len(self.gap), dtype=bool)
+        """Until no row can give anything, or as few rows are left as the tokens need."""
         least = -(-int(self.sizes.sum()) // self.capacity)
-        while alive.sum() > max(1, least):
-            donor = int(np.argmax(np.where(alive, self.gap, -1)))
-            before = self.bin.copy(), self.gap.copy()
-            while self.gap[donor] < self.capacity and self.improve(donor, alive, set()):
-                pass
-            if self.gap[donor] < self.capacity:
-                if self.squares(self.gap) < self.squares(before[1]):
-                    self.bin, self.gap = before
-                break
-            alive[donor] = False
-        keep = np.flatnonzero(alive)
-        place = np.full(len(alive), -1, dtype=np.int64)
+        left, moved = len(self.gap), True
+        while moved and left > max(1, least):
+            moved = False
+            for donor in np.argsort(-self.gap, kind="stable").tolist():
+                if self.gap[donor] in (0, self.capacity):
+                    continue
+                while self.gap[donor] < self.capacity and self.give(donor):
+                    moved = True
+                if self.gap[donor] == self.capacity:
+                    left -= 1
+                    if left <= max(1, least):
+                        break
+        keep = np.flatnonzero(self.gap < self.capacity)
+        place = np.full(len(self.gap), -1, dtype=np.int64)
         place[keep] = np.arange(len(keep))
         self.bin, self.gap = place[self.bin], self.gap[keep]
 
-    def squares(self, gap: np.ndarray) -> int:
-        return int(((self.capacity - gap) ** 2).sum())
-
 
 def pack_block(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """(row of each item, number of rows) for sizes between 1 and capacity."""
-    bins = Bins(sizes, capacity)
-    bins.first_fit()
-    bins.search()
-    return bins.bin, len(bins.gap)
+    best = None
+    for start in (Bins.first_fit, Bins.best_fit):
+        bins = Bins(sizes, capacity)
+        start(bins)
+        bins.search()
+        if best is None or len(bins.gap) < len(best.gap):
+            best = bins
+        if len(best.gap) <= -(-int(sizes.sum()) // capacity):
+            break  # as few rows as the tokens need
+    return best.bin, len(best.gap)
 
 
 SCHEMA = "seq_len int, block long, row long, doc_id long, pieces int, piece int, start long, length int"

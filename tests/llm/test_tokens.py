@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -57,8 +58,6 @@ def test_totals_and_stages(spark):
 
 @pytest.mark.parametrize("seed", range(6))
 def test_local_search_packs_tightly(seed):
-    import numpy as np
-
     rng = random.Random(seed)
     sizes = np.array([min(1000, int(rng.lognormvariate(5, 1)) + 1) for _ in range(400)])
     rows, count = packing.pack_block(sizes, 1000)
@@ -69,6 +68,69 @@ def test_local_search_packs_tightly(seed):
     assert count <= len(start.gap) and count <= -(-sizes.sum() // 1000) + 1
 
 
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for size in sorted(sizes.tolist(), reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - size)
+    return len(gaps)
+
+
+SPREADS = {
+    "anything": (lambda rng: rng.integers(100, 8001, 800), 8192),
+    "a few a row": (lambda rng: rng.integers(1500, 4001, 800), 8192),
+    "many a row": (lambda rng: rng.integers(200, 3001, 1000), 8192),
+    "two or three a row": (lambda rng: rng.integers(2000, 4201, 600), 8192),
+    "long tail": (lambda rng: np.minimum(32768, rng.lognormal(7, 1.5, 800).astype(int) + 1), 32768),
+    "equal sizes": (lambda rng: np.repeat([3000, 2500, 1800, 700], 100), 8192),
+}
+
+
+@pytest.mark.parametrize("name", SPREADS)
+def test_never_more_rows_than_best_fit(name):
+    draw, capacity = SPREADS[name]
+    saved = 0
+    for seed in range(4):
+        sizes = draw(np.random.default_rng(seed))
+        rows, count = packing.pack_block(sizes, capacity)
+        load = np.bincount(rows, weights=sizes, minlength=count)
+        assert len(load) == count and load.max() <= capacity and load.min() > 0
+        assert count <= best_fit_decreasing(sizes, capacity)
+        saved += best_fit_decreasing(sizes, capacity) - count
+    assert saved > 20 or name not in ("a few a row", "two or three a row")
+
+
+def test_every_step_raises_the_squared_fills():
+    rng = np.random.default_rng(8)
+    for capacity in (20, 100, 1000):
+        bins = packing.Bins(rng.integers(1, capacity * 2 // 3, 60), capacity)
+        bins.first_fit()
+        for donor in range(len(bins.gap)):
+            before = int(((capacity - bins.gap) ** 2).sum())
+            while bins.gap[donor] < capacity and bins.give(donor):
+                now = int(((capacity - bins.gap) ** 2).sum())
+                assert now > before and bins.gap.min() >= 0
+                before = now
+        assert (capacity - bins.gap == np.bincount(bins.bin, weights=bins.sizes, minlength=len(bins.gap))).all()
+
+
+def test_exchanges_look_at_all_documents():
+    # 60 documents in the donor row: only the two smallest fit against the other row's one
+    sizes = np.array([40] * 58 + [9, 10] + [17] + [2983], dtype=np.int64)
+    bins = packing.Bins(sizes, 3002)
+    bins.bin = np.array([0] * 60 + [1, 1])
+    bins.gap = np.array([3002 - 58 * 40 - 19, 2])
+    assert bins.give(0) and bins.gap[1] == 0 and bins.bin[58] == bins.bin[59] == 1
+    # one of 30 against two that are no neighbours in size
+    sizes = np.array([30] + [14, 15, 15, 99, 100], dtype=np.int64)
+    bins = packing.Bins(sizes, 244)
+    bins.bin = np.array([0] + [1] * 5)
+    bins.gap = np.array([214, 1])
+    assert bins.give(0) and bins.gap[1] == 0 and bins.bin[0] == 1
+
+
 def test_pack(spark):
     docs = [(1, 25), (2, 10), (3, 0), (4, None), (5, 3), (5, 3), (6, 7), (7, 20)]
     frame = spark.createDataFrame([(d, n, 1) for d, n in docs], "doc_id long, tokens long, row int")
