@@ -3,24 +3,25 @@
 Inside a group the weight of a source is its token share to a power between 0 (even) and 1 (in proportion). The
 exponent is found by bisection: the least one whose weights ask no source for more readings than allowed, or, if a
 target entropy is given, the one that meets it under the same limit. A source's budget becomes whole readings and one
-part of a reading: every reading permutes hashed blocks of documents, and the part takes blocks while they fit, then
-documents of the block at the border.
+part of a reading: every reading permutes hashed blocks of documents, and the part takes blocks while they fit, then the
+documents of the next block that fit into what is left, in their order. What the sources of a group still lack together
+is filled up, in the same order, from all documents the group has not taken in its last readings: first by documents
+that fit, until none does, then by one more if that brings the group nearer to its budget.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.session import cut
 
-BLOCK_DOCUMENTS = 1000
-MOST_BLOCKS = 65_536
-
 
 def weights(tokens: list[float], exponent: float) -> list[float]:
     top = max(tokens, default=0.0)
@@ -72,69 +73,151 @@ class Draw:
     repeats: int
 
 
-def plan(groups: list[dict], tokens: dict[str, int], target_entropy: float | None = None) -> list[Draw]:
-    """The budget of each source of each stage. ``rest`` takes what the other groups really reach, nothing below 0."""
+def plan(groups: list[dict], tokens: dict[str, int], reached: dict[str, int] | None = None, target_entropy: float | None = None) -> list[Draw]:
+    """The budget of each source of each stage: of the ``fixed`` and ``supply`` groups, or, once ``reached`` tells what
+    these really gave to each stage, of the ``rest`` groups, which share what the stage lacks, nothing below 0."""
     draws: list[Draw] = []
-    for stage in sorted({g["stage"] for g in groups}):
-        mine = sorted((g for g in groups if g["stage"] == stage), key=lambda g: (g["share_kind"] == "rest", g["group_name"]))
-        reached, kept_for = 0.0, sum(1 for g in mine if g["share_kind"] == "rest")
-        for g in mine:
-            total = float(g["stage_tokens"] or 0)
-            sources = sorted(set(g["sources"] or []))
-            have = [float(tokens.get(s, 0)) for s in sources]
-            repeats = int(g["max_repeats"] if g["max_repeats"] is not None else 1)
-            if g["share_kind"] == "supply":
-                exponent, drawn, goal = 1.0, list(have), sum(have)
-                repeats = max(1, repeats)
-            else:
-                goal = (g["share"] or 0.0) * total if g["share_kind"] == "fixed" else max(0.0, total - reached) / max(1, kept_for)
-                exponent, drawn = temper(have, goal, repeats, target_entropy)
-            if g["share_kind"] != "rest":
-                reached += sum(drawn)
-            for s, h, d in zip(sources, have, drawn):
-                draws.append(Draw(stage, g["group_name"], s, g["share_kind"], goal / total if total else 0.0, exponent, int(h), int(round(d)), repeats))
+    rests = Counter(g["stage"] for g in groups if g["share_kind"] == "rest")
+    for g in sorted(groups, key=lambda g: (g["stage"], g["group_name"])):
+        if (g["share_kind"] == "rest") != (reached is not None):
+            continue
+        total = float(g["stage_tokens"] or 0)
+        sources = sorted(set(g["sources"] or []))
+        have = [float(tokens.get(s, 0)) for s in sources]
+        repeats = int(g["max_repeats"] if g["max_repeats"] is not None else 1)
+        if g["share_kind"] == "supply":
+            exponent, drawn, goal, repeats = 1.0, list(have), sum(have), max(1, repeats)
+        else:
+            goal = (g["share"] or 0.0) * total if reached is None else max(0.0, total - reached.get(g["stage"], 0)) / rests[g["stage"]]
+            exponent, drawn = temper(have, goal, repeats, target_entropy)
+        draws += [Draw(g["stage"], g["group_name"], s, g["share_kind"], goal / total if total else 0.0, exponent, int(h), int(round(d)), repeats) for s, h, d in zip(sources, have, drawn)]
     return draws
 
 
 DRAWS = "stage string, group_name string, source string, share_kind string, target double, exponent double, have long, budget long, repeats int"
 
 
-def mixture(counted: DataFrame, groups: DataFrame, target_entropy: float | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(rows, draws): rows (stage, group_name, source, epoch, block, sort_key, doc_id, tokens) in the order of
-    (epoch, block, sort_key); draws, the plan by stage and source.
+GROUP = ["stage", "group_name"]
+DRAW = [*GROUP, "source"]
+ROW = [*DRAW, "epoch", "block", "sort_key", "doc_id", "tokens"]
+ROWS = "stage string, group_name string, source string, epoch long, block long, sort_key long, doc_id long, tokens long"
 
-    counted has doc_id, source, tokens. Documents without tokens, and those of sources no group names, are never drawn.
-    A source without documents draws nothing; a group no source of which has documents reaches nothing.
+
+def fitting(frame: pd.DataFrame) -> pd.DataFrame:
+    """Documents in their order; one that fits into what is ``room`` yet is taken, any other passed over."""
+    frame = frame.sort_values(["block", "sort_key", "doc_id", "tokens"], kind="stable")
+    room, taken = int(frame["room"].iloc[0]), []
+    for n in frame["tokens"].tolist():
+        taken.append(n <= room)
+        room -= n if n <= room else 0
+    return frame[ROW].assign(taken=taken, room=room)
+
+
+FITTED = f"{ROWS}, taken boolean, room long"
+
+
+def _before(sums: DataFrame, by: list[str]) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("before", F.coalesce(F.sum("total").over(order), F.lit(0)))
+
+
+def fill_up(spare: DataFrame, by: list[str], room: dict[tuple, int]) -> tuple[list[DataFrame], DataFrame, dict[tuple, int]]:
+    """(rows taken, rows left over, room left) for each value of ``by``, until no document of ``spare`` fits any more.
+
+    Each round brings one task a value the documents that fit, up to the block with which they are enough: about as many
+    tokens as there is room. What it passes over is longer than the room that stays, so later rounds go on behind it.
+    """
+    spark, kinds = spare.sparkSession, ", ".join(f"{c} string" for c in by)
+    at, taken, passed = dict.fromkeys(room, -1), [], []
+    active = {g for g, n in room.items() if n > 0}
+    while active:
+        state = spark.createDataFrame([(*g, room[g], at[g]) for g in sorted(active)], f"{kinds}, room long, at long")
+        fits = spare.join(F.broadcast(state), by).where("tokens <= room and block > at")
+        sums = _before(fits.groupBy(*by, "block").agg(F.sum("tokens").alias("total"), F.first("room").alias("room")), by)
+        upto = sums.where("before < room").groupBy(*by).agg(F.max("block").alias("upto")).collect()
+        if not upto:
+            break
+        last = spark.createDataFrame([tuple(r) for r in upto], f"{kinds}, upto long")
+        edge = cut(fits.join(F.broadcast(last), by).where("block <= upto").select(*ROW, "room").groupBy(*by).applyInPandas(fitting, FITTED))
+        taken.append(edge.where("taken").select(ROW))
+        passed.append(edge.where("not taken").select(ROW))
+        room |= {tuple(r)[:-1]: r.room for r in edge.select(*by, "room").distinct().collect()}
+        at |= {tuple(r)[:-1]: r.upto for r in upto}
+        active = {tuple(r)[:-1] for r in upto if room[tuple(r)[:-1]] > 0}
+    state = spark.createDataFrame([(*g, n) for g, n in sorted(at.items())], f"{kinds}, at long")
+    rest = spare.join(F.broadcast(state), by).where("block > at").select(ROW)
+    for frame in passed:
+        rest = rest.unionByName(frame)
+    return taken, rest, room
+
+
+def nearest(rest: DataFrame, room: dict[tuple, int]) -> list[tuple]:
+    """Of each group with room the one row whose tokens are closest to it, if it is better than none."""
+    state = rest.sparkSession.createDataFrame([(*g, n) for g, n in sorted(room.items()) if n > 0], "stage string, group_name string, room long")
+    off = F.abs(F.col("tokens") - F.col("room"))
+    best = F.min(F.struct(off.alias("off"), "sort_key", "doc_id", "source", "epoch", "block", "tokens")).alias("d")
+    found = rest.join(F.broadcast(state), GROUP).where(off < F.col("room")).groupBy(*GROUP).agg(best).collect()
+    return [(r.stage, r.group_name, r.d.source, r.d.epoch, r.d.block, r.d.sort_key, r.d.doc_id, r.d.tokens) for r in found]
+
+
+def realise(counted: DataFrame, draws: list[Draw], documents: dict[str, int], seed: int) -> tuple[DataFrame, dict[str, int]]:
+    """(rows, tokens by stage) of the draws; ``documents`` has the number of documents of each source.
+
+    A source of n documents is cut into about sqrt(n) blocks of about sqrt(n) documents: neither the running sum over the
+    blocks of a reading nor the blocks that are taken in part grow as the source does. The driver gets one row a draw.
     """
     spark = counted.sparkSession
-    counted = cut(counted.select("doc_id", "source", F.col("tokens").cast("long")).where("tokens > 0 and source is not null"))
-    names = groups.select(F.explode("sources").alias("source")).distinct()
-    # one row per source that a group names: the mixture's own configuration bounds it
-    sizes = counted.join(names, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
-    draws = plan([r.asDict() for r in groups.collect()], {r.source: r.tokens for r in sizes}, target_entropy)
-    table = spark.createDataFrame([(d.stage, d.group_name, d.source, d.share_kind, d.target, d.exponent, d.tokens, d.budget, d.repeats) for d in draws], DRAWS)
-    blocks = {r.source: min(MOST_BLOCKS, max(1, r.n // BLOCK_DOCUMENTS)) for r in sizes}
-    drawn = spark.createDataFrame([(d.stage, d.group_name, d.source, d.budget // d.tokens, d.budget % d.tokens, blocks[d.source]) for d in draws if d.tokens and d.budget], "stage string, group_name string, source string, whole long, part long, blocks long")
-    columns = ["stage", "group_name", "source", "epoch", "block", "sort_key", "doc_id", "tokens"]
+    table = spark.createDataFrame([(d.stage, d.group_name, d.source, d.budget // d.tokens, d.budget % d.tokens, max(1, math.isqrt(documents.get(d.source, 1)))) for d in draws if d.tokens and d.budget], "stage string, group_name string, source string, whole long, part long, blocks long")
 
     def permuted(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("stage", "epoch", "doc_id", F.lit(seed)), F.col("blocks")))
         return rows.withColumn("block", F.pmod(F.xxhash64("stage", "source", "epoch", "block", F.lit(seed + 1)), F.lit(2**40))).withColumn("sort_key", F.xxhash64("stage", "epoch", "doc_id", F.lit(seed + 2)))
 
-    joined = counted.join(F.broadcast(drawn), "source")  # the plan: as many rows as the configuration names
+    joined = counted.join(F.broadcast(table), "source")  # the plan: as many rows as the configuration names
     whole = permuted(joined.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))))
     part = permuted(joined.where("part > 0").withColumn("epoch", F.col("whole") + 1))
-    by_block = part.groupBy("stage", "group_name", "source", "block").agg(F.sum("tokens").alias("block_tokens"))
-    order = Window.partitionBy("stage", "group_name", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    started = by_block.withColumn("before", F.coalesce(F.sum("block_tokens").over(order), F.lit(0))).drop("block_tokens")
-    placed = part.join(started, ["stage", "group_name", "source", "block"])
-    sums = by_block.withColumnRenamed("block_tokens", "total")
-    placed = placed.join(sums, ["stage", "group_name", "source", "block"])
-    inside = placed.where("before + total <= part")
-    border = placed.where("before < part and before + total > part")
-    running = Window.partitionBy("stage", "group_name", "source", "block").orderBy("sort_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    border = border.withColumn("run", F.sum("tokens").over(running)).where("before + run - tokens / 2 <= part")
-    rows = whole.select(columns).unionByName(inside.select(columns)).unionByName(border.select(columns))
+    sums = _before(part.groupBy(*DRAW, "block").agg(F.sum("tokens").alias("total"), F.first("part").alias("part")), DRAW)
+    border = [tuple(r) for r in sums.where("before + total > part").groupBy(*DRAW).agg(F.min(F.struct("block", (F.col("part") - F.col("before")).alias("room"))).alias("b")).select(*DRAW, "b.block", "b.room").collect()]
+    bounded = part.join(F.broadcast(spark.createDataFrame([r[:4] for r in border], "stage string, group_name string, source string, border long")), DRAW)
+    fitted, rest, room = fill_up(bounded.where("block >= border").select(ROW), DRAW, {r[:3]: r[4] for r in border})
+    lacking = {(d.stage, d.group_name): 0 for d in draws}
+    for (stage, group, _), n in room.items():
+        lacking[stage, group] += n
+    more, rest, lacking = fill_up(rest, GROUP, lacking)
+    closing = nearest(rest, lacking)
+    rows = whole.select(ROW).unionByName(bounded.where("block < border").select(ROW)).unionByName(spark.createDataFrame(closing, ROWS))
+    for frame in fitted + more:
+        rows = rows.unionByName(frame)
+    reached: dict[str, int] = {}
+    for d in draws:
+        reached[d.stage] = reached.get(d.stage, 0) + (d.budget if d.tokens else 0)
+    for (stage, _), n in lacking.items():
+        reached[stage] -= n
+    for r in closing:
+        reached[r[0]] += r[7]
+    return rows, reached
+
+
+def mixture(counted: DataFrame, groups: DataFrame, target_entropy: float | None = None, seed: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows, draws): rows (stage, group_name, source, epoch, block, sort_key, doc_id, tokens) in the order of
+    (epoch, block, sort_key); draws, the plan by stage and source.
+
+    counted has doc_id, source, tokens. Documents without tokens, and those of sources no group names, are never drawn.
+    A source without documents draws nothing; a group no source of which has documents reaches nothing. ``rest`` groups
+    are planned from what the others have really reached.
+    """
+    spark = counted.sparkSession
+    counted = cut(counted.select(F.col("doc_id").cast("long"), "source", F.col("tokens").cast("long")).where("tokens > 0 and source is not null"))
+    names = groups.select(F.explode("sources").alias("source")).distinct()
+    # one row per source that a group names: the mixture's own configuration bounds it
+    sizes = counted.join(names, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()
+    tokens, documents = {r.source: r.tokens for r in sizes}, {r.source: r.n for r in sizes}
+    stated = [r.asDict() for r in groups.collect()]
+    draws = plan(stated, tokens, None, target_entropy)
+    rows, reached = realise(counted, draws, documents, seed)
+    rest = plan(stated, tokens, reached, target_entropy)
+    rows = rows.unionByName(realise(counted, rest, documents, seed)[0])
+    table = spark.createDataFrame([(d.stage, d.group_name, d.source, d.share_kind, d.target, d.exponent, d.tokens, d.budget, d.repeats) for d in draws + rest], DRAWS)
     return rows, table
 
 

@@ -68,9 +68,9 @@ def p2_stages(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.against_stages(_counted(spark, folder, "source"), table(spark, folder, "mixture_groups"))
 
 
-def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, folder: str, target_entropy: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = table(spark, folder, "mixture_groups")
-    return *mixing.mixture(_counted(spark, folder, "source"), groups), groups
+    return *mixing.mixture(_counted(spark, folder, "source"), groups, target_entropy), groups
 
 
 @query("p4_mixture")
@@ -85,6 +85,12 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*_mixture(spark, folder))
 
 
+@query("p4_entropy_shares")
+def p4_entropy_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where a group's sources are to be as uneven as an entropy of one nat tells, as far as repeats allow."""
+    return mixing.report(*_mixture(spark, folder, 1.0))
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     # distinct row lengths of the stages: a configuration table
     lengths = [r.seq_len for r in table(spark, folder, "mixture_groups").select("seq_len").distinct().collect()]

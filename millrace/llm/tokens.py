@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.names import topic_key
+from millrace.operators.sequences import PATTERN as SPLIT_PATTERN
 
-#: Fixed value: the split pattern that belongs to the vocabulary format (digit runs of one or two).
-SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++|\s*[\r\n]|\s+(?!\S)|\s+"""
 #: Java's classes are ASCII unless asked otherwise.
 JVM_PATTERN = "(?U)" + SPLIT_PATTERN
 NONE = np.iinfo(np.int64).max

@@ -176,3 +176,36 @@ def test_mixture(spark):
     assert report["small"].group_share == 0.5 and report["none"].reached_tokens == 0
     assert mixing.mixture(counted.limit(0), groups)[0].count() == 0
     assert mixing.mixture(counted, groups.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_groups_reach_their_shares(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    groups = table(spark, folder, "mixture_groups")
+    counted = tokens.token_counts(table(spark, folder, "documents"), tokens.vocabulary_of(table(spark, folder, "tokenizer_vocab")), ["doc_id", "source"])
+    sizes = counted.where("tokens > 0").toPandas().groupby("source")["tokens"].agg(["sum", "mean"])
+    rows, draws = mixing.mixture(counted, groups)
+    got = rows.toPandas()
+    reached = got.groupby(["stage", "group_name"])["tokens"].sum().to_dict()
+    assert not got.duplicated(["stage", "group_name", "source", "epoch", "doc_id"]).any()
+    checked = 0
+    for stage in {g.stage for g in groups.collect()}:
+        mine = [g for g in groups.collect() if g.stage == stage]
+        for g in mine:
+            have = sum(sizes["sum"].get(s, 0) for s in g.sources)
+            others = sum(reached.get((stage, o.group_name), 0) for o in mine if o.group_name != g.group_name)
+            goal = {"supply": have, "fixed": (g.share or 0) * g.stage_tokens, "rest": g.stage_tokens - others}[g.share_kind]
+            readings = got[(got.stage == stage) & (got.group_name == g.group_name)]["epoch"].max()
+            assert g.share_kind == "supply" or not readings > g.max_repeats
+            if have * g.max_repeats >= goal > 0:
+                document = max(sizes["mean"].get(s, 0) for s in g.sources)
+                assert abs(reached[stage, g.group_name] - goal) <= document, (stage, g.group_name)
+                checked += 1
+    assert checked >= 8
+
+
+def test_long_documents_do_not_shut_out_others(spark):
+    counted = spark.createDataFrame([(i, "s", 5000 if i % 3 == 0 else 7) for i in range(600)], "doc_id long, source string, tokens long")
+    groups = spark.createDataFrame([("t", 2800, "g", "fixed", 0.5, ["s"], 1)], "stage string, stage_tokens long, group_name string, share_kind string, share double, sources array<string>, max_repeats int")
+    rows, _ = mixing.mixture(counted, groups)
+    assert rows.toPandas()["tokens"].sum() == 1400
