@@ -3,8 +3,9 @@
 Groups are the connected components of repositories under their links, or the records of one problem. Whole components
 are placed: a hashed start in the target shares, then annealing by moves and swaps of components that lowers the
 deviation of sizes and of label counts from the targets. Components holding at least one record in a thousand (at most
-a thousand of them) are searched together; all others in hashed blocks, in parallel, each block against its own part
-of what the heavy ones left. Every block runs several chains and keeps the best state met.
+a thousand of them) are searched together and brought to the target shares among themselves; all others in hashed
+blocks, in parallel, each against its own part of what the heavy ones left of the targets over all records. Every block
+runs several chains and keeps the best state any of them met.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from millrace.operators.components import connected_components
 from millrace.operators.hotjoin import HOT, hot_left_join
 from millrace.session import cut
 
-LABELS = 8
+#: More distinct labels than this are no categories.
+LABELS = 256
 BLOCK = 2000
 
 
@@ -49,7 +51,7 @@ def anneal(keys: list[str], sizes: np.ndarray, labels: np.ndarray, names: list[s
             for d, w in weights[i]:
                 off[k][d] += w
         cost = sum(x * x for row in off for x in row)
-        kept, kept_cost = list(state), cost
+        least, since = cost, []  # the best cost so far, and the moves since
         count = steps * n if m > 1 and n else 0
         picks, others = rng.integers(0, max(1, n), (2, max(1, count)))
         coins, accept, targets = rng.random(count), rng.random(count), rng.integers(0, max(1, m), max(1, count))
@@ -75,17 +77,19 @@ def anneal(keys: list[str], sizes: np.ndarray, labels: np.ndarray, names: list[s
                 for d, w in change.items():
                     va[d] -= w
                     vb[d] += w
+                since.append((i, a))
                 state[i] = b
                 if second:
+                    since.append((j, b))
                     state[j] = a
                 cost += delta
-                if cost < kept_cost - 1e-9:
-                    kept, kept_cost = list(state) if n <= 64 or t % 16 == 0 else kept, cost if n <= 64 or t % 16 == 0 else kept_cost
+                if cost < least - 1e-9:
+                    least, since = cost, []
             heat *= 1 - 6.0 / count
-        if cost < kept_cost:
-            kept, kept_cost = list(state), cost
-        if kept_cost < best[1]:
-            best = (kept, kept_cost)
+        for i, a in reversed(since):  # back to the best state met
+            state[i] = a
+        if least < best[1]:
+            best = (state, least)
     return best[0], best[1] / total**2
 
 
@@ -99,12 +103,20 @@ def records_of(repository_files: DataFrame, code_functions: DataFrame, raw_trace
     return parts.withColumn("row_key", F.concat_ws("/", "record_table", "record_id"))
 
 
-def component_table(records: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per key: component, its number of records, whether recorded splits differ inside the component, label counts."""
+def labels_of(records: DataFrame) -> list[str]:
+    """The distinct labels, a small set of categories; more than LABELS raise."""
+    found = sorted(r.label for r in records.select("label").where("label is not null").distinct().limit(LABELS + 1).collect())
+    if len(found) > LABELS:
+        raise ValueError(f"more than {LABELS} distinct labels")
+    return found
+
+
+def component_table(records: DataFrame, links: DataFrame, labels: list[str]) -> DataFrame:
+    """One row per key: component, its number of records, the least and greatest recorded split, and the count of each label
+    (columns l0, l1, ... in the order of ``labels``)."""
     named = links.select(F.concat(F.lit("r:"), repository_key(F.col("from_repo"))).alias("u"), F.concat(F.lit("r:"), repository_key(F.col("to_repo"))).alias("v"))
     joined = connected_components(named)
-    bucket = F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("label"), F.lit(LABELS)))
-    keys = records.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("recorded").alias("low"), F.max("recorded").alias("high"), *[F.count_if(bucket == i).alias(f"l{i}") for i in range(LABELS)])
+    keys = records.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("recorded").alias("low"), F.max("recorded").alias("high"), *[F.count_if(F.col("label") == v).alias(f"l{i}") for i, v in enumerate(labels)])
     return keys.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
@@ -112,31 +124,27 @@ def assign_splits(records: DataFrame, links: DataFrame, targets: DataFrame, seed
     """records plus (component, split, mixed): whole components in the target shares.
 
     ``mixed`` tells whether the recorded, non-null splits of the record's component differ. A record without a key is
-    a component of its own: its split is drawn by hash in the target shares, and it is never mixed. Null labels count
-    for no label; null recorded splits for no difference. Targets that do not sum to one are scaled; a null or
+    a component of its own: its split is drawn by hash in the target shares, and it is never mixed. Labels are a small
+    set of categories (more than LABELS raise); null labels count for no label, null recorded splits for no difference. Targets that do not sum to one are scaled; a null or
     negative share counts as zero; without any positive target, every split is null. Other columns are dropped.
     """
     rows = sorted((r.split_name, max(0.0, r.target_share or 0.0)) for r in targets.where("split_name is not null").select("split_name", "target_share").collect())
     rows = [(k, s / sum(x for _, x in rows)) for k, s in rows if sum(x for _, x in rows) > 0]
     names, shares = [k for k, _ in rows], np.array([s for _, s in rows])
-    keys = cut(component_table(records, links))
-    sums = [F.sum(c).alias(c) for c in ["n", *[f"l{i}" for i in range(LABELS)]]]
+    labels = labels_of(records)
+    columns = [f"l{i}" for i in range(len(labels))]
+    keys = cut(component_table(records, links, labels))
+    sums = [F.sum(c).alias(c) for c in ["n", *columns]]
     components = cut(keys.groupBy("component").agg(*sums, (F.min("low") < F.max("high")).alias("mixed")).withColumn("mixed", F.coalesce("mixed", F.lit(False))))
     size = components.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("k")).first()
-    columns = [f"l{i}" for i in range(LABELS)]
     spark = records.sparkSession
     # at most HOT components hold one record in HOT: the only ones that come to the driver
     heavy = components.where(F.col("n") * HOT >= F.lit(size.n)).select("component", "n", *columns).orderBy("component").toPandas()
     wanted = shares * float(size.n)
     chosen: list[int] = []
     if len(heavy) and names:
-        light = size.n - int(heavy["n"].sum())
         counts = heavy[columns].to_numpy(dtype=float)
-        if light < size.n / 20:
-            chosen, _ = anneal(list(heavy["component"]), heavy["n"].to_numpy(dtype=float), counts, names, wanted, chains=8, steps=200, seed=seed)
-        else:
-            # the light components act as one divisible filler: only overfull splits cost anything
-            chosen, _ = anneal(list(heavy["component"]), heavy["n"].to_numpy(dtype=float), counts, names, shares * float(heavy["n"].sum()), chains=8, steps=200, seed=seed)
+        chosen, _ = anneal(list(heavy["component"]), heavy["n"].to_numpy(dtype=float), counts, names, shares * float(heavy["n"].sum()), chains=8, steps=200, seed=seed)
     placed = np.zeros(len(names))
     for k, n in zip(chosen, heavy["n"]):
         placed[k] += n
