@@ -17,37 +17,49 @@ from millrace.operators.components import connected_components
 from millrace.operators.ranking import global_rank
 from millrace.session import cut, spread
 
-_INCLUDE = re.compile(r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"\n]+)"')
-
-
-def python_targets(path: str, name: str) -> tuple[list[str], bool]:
-    """Candidate files of a dotted import, and whether they are exact paths (relative imports) or path ends."""
-    level = len(name) - len(name.lstrip("."))
-    parts = [p for p in name[level:].split(".") if p]
-    if level:
-        base = path.split("/")[:-1]
-        if level - 1 > len(base):
-            return [], True
-        parts = base[: len(base) - (level - 1)] + parts
-    found = []
-    for k in (len(parts), len(parts) - 1):
-        if k > 0:
-            module = "/".join(parts[:k])
-            found += [f"{module}.py", f"{module}/__init__.py"]
-    return found, bool(level)
+_INCLUDE = re.compile(r'(?m)^[ \t]*#[ \t]*include(?:_next)?[ \t]*(?:"([^"\n]+)"|<([^>\n]+)>)')
+
+
+def python_keys(path: str, module: str, name: str | None) -> list[str]:
+    """Keys of all files that an import may mean: the module, or its package, and the name as a module or package in it.
+    Absolute modules are path ends; relative ones stand at exact places above the file."""
+    level = len(module) - len(module.lstrip("."))
+    parts, inner = [p for p in module[level:].split(".") if p], [name] if name and name != "*" else []
+    if not level:
+        stem = "/".join(parts)
+        return [f"~{x}" for at in ([stem] + [f"{stem}/{n}" for n in inner]) for x in (f"{at}.py", f"{at}/__init__.py")]
+    above = path.split("/")[:-1]
+    if level - 1 > len(above):
+        return []
+    target = above[: len(above) - level + 1] + parts
+    whole = "/".join(target)
+    found = [f"{whole}.py"] if parts else []
+    found.append("/".join([*target, "__init__.py"]))
+    for n in inner:
+        found += ["/".join([*target, f"{n}.py"]), "/".join([*target, n, "__init__.py"])]
+    return [f"={x}" for x in found]
+
+
+def cleaned(path: str) -> str | None:
+    """The path without dots, if it stays inside the repository."""
+    path = posixpath.normpath(path)
+    return None if path.split("/")[0] in ("..", "") else path
 
 
 def candidates(path: str, text: str, language: str) -> list[list[str]]:
-    """Keys of each import, best first: ``=`` and a whole path, or ``~`` and a path's end. C++ includes are first tried
-    beside the file."""
+    """Keys of each thing a file asks for, best first: ``=`` and a whole path, or ``~`` and a path's end. A Python import asks
+    for every file it may mean; a quoted C++ include for the file beside, and only without one, like any other include, for
+    files that end with it."""
     if language == "C++":
         found = []
-        for name in _INCLUDE.findall(text):
-            near, clean = posixpath.normpath(posixpath.join(posixpath.dirname(path), name)), posixpath.normpath(name)
-            found.append([f"={near}", *([] if clean.startswith("..") else [f"~{clean}"])])
+        for quoted, angled in _INCLUDE.findall(text):
+            near = cleaned(posixpath.join(posixpath.dirname(path), quoted)) if quoted else None
+            end = cleaned(quoted or angled)
+            keys = ([f"={near}"] if near else []) + ([f"~{end}"] if end else [])
+            if keys:
+                found.append(keys)
         return found
-    names = [python_targets(path, name) for name in (imports_of(text) or [] if "import" in text else [])]
-    return [[("=" if exact else "~") + c for c in targets] for targets, exact in names]
+    return [[key] for key in dict.fromkeys(k for module, name in imports_of(text) for k in python_keys(path, module, name))]
 
 
 def edges(paths: list[str], texts: list[str], language: str) -> list[tuple[int, int]]:

@@ -7,8 +7,11 @@ from pyspark.sql.window import Window
 
 from millrace.functions import programs as G
 from millrace.functions import text as X
-from millrace.plans.curate import LF, SPACE, words_sql
+from millrace.operators import sequences as Q
+from millrace.operators import traces as E
+from millrace.plans.curate import LF, SPACE, grams_sql, words_sql
 from millrace.plans.registry import query
+from millrace.session import spread
 
 _STARTS = "regexp_matches(generation, '(?s)^\\s*<think>.*</think>')"
 _REASON = f"case when {_STARTS} then regexp_extract(generation, '(?s)^\\s*<think>(.*?)</think>', 1) end"
@@ -21,59 +24,133 @@ def _(t):
     return parsed.select("completion_id", "p.outcome", "p.line", "p.message")
 
 
+def python_files(t):
+    return spread(t("repository_files").where("lang = 'Python' and content is not null").select("file_id", X.normalize_lines(F.col("content")).alias("content")))
+
+
 @query("p08_minimal_repair")
 def _(t):
-    rows = t("repository_files").where("lang = 'Python' and content is not null").select("file_id", "content", G.repaired(X.normalize_lines(F.col("content"))).alias("fixed"))
-    return rows.select("file_id", F.col("fixed").isNotNull().alias("parses"), (F.col("fixed") != X.normalize_lines(F.col("content"))).alias("changed"))
+    """Whether each Python file parses as it is or after the fewest repairs, and whether it was changed."""
+    rows = python_files(t).withColumn("fixed", G.repaired(F.col("content")))
+    return rows.select("file_id", F.col("fixed").isNotNull().alias("parses"), (F.col("fixed") != F.col("content")).alias("changed"))
 
 
 @query("p09_checked_files")
 def _(t):
-    rows = t("repository_files").where("lang = 'Python' and content is not null").select("file_id", G.repaired(X.normalize_lines(F.col("content"))).alias("content"))
+    rows = python_files(t).select("file_id", G.repaired(F.col("content")).alias("content"))
     return rows.where("content is not null").select("file_id", X.content_id(F.col("content")).alias("id"))
 
 
+_LITERAL_REPAIRS = ["x = 1\n", "<NAME> = 1\n", "if x:\n\ty = 1\n        z = 2\n", "if <NAME>:\n\ty = 1\n        z = 2\n", "print 'x'\n", "  \tx = (\n"]
+
+
+@query("p08_literal_repairs", "select * from (values (1, 'x = 1' || chr(10)), (2, 'NAME = 1' || chr(10)), (3, 'if x:' || chr(10) || '        y = 1' || chr(10) || '        z = 2' || chr(10)), (4, 'if NAME:' || chr(10) || '        y = 1' || chr(10) || '        z = 2' || chr(10)), (5, null), (6, null)) v(k, fixed)")
+def _(t):
+    """Files that need no repair, one, the other, both, and two that none helps."""
+    rows = t.spark.createDataFrame([(k, x) for k, x in enumerate(_LITERAL_REPAIRS, 1)], "k int, content string")
+    return rows.select("k", G.repaired(F.col("content")).alias("fixed"))
+
+
 @query("p12_reasoning_split", f"select trace_id, sha1({_REASON}) as reasoning, sha1({_ANSWER}) as answer from raw_traces where generation is not null")
 def _(t):
     g = F.col("generation")
     return t("raw_traces").where("generation is not null").select("trace_id", F.sha1(X.reasoning(g)).alias("reasoning"), F.sha1(X.answer(g)).alias("answer"))
 
 
-@query("p13_format_parser", f"select trace_id, length(prompt) as prompt_chars, regexp_extract({_ANSWER}, '(?s)```python\\n(.*?)```', 1) <> '' as has_listing from raw_traces where generation is not null and prompt is not null")
+def chat_rows(t):
+    """Traces as chat rows of the four formats, by trace_id: tagged, apart, edits and turns."""
+    kinds = F.array(*map(F.lit, ("tagged", "apart", "edits", "turns")))
+    reply = F.coalesce("generation", F.lit(""))
+    thought, answer = F.coalesce(X.reasoning(F.col("generation")), F.lit("")), F.coalesce(X.answer(F.col("generation")), F.lit(""))
+
+    def message(role, content, reasoning=None):
+        return F.struct(F.lit(role).alias("role"), content.alias("content"), (F.lit(None).cast("string") if reasoning is None else reasoning).alias("reasoning_content"))
+
+    stub = F.lit("These are the files.\n\nmain.py\n```\npass\n```\n")
+    listing = F.concat(thought, F.lit("\n\n### Solution Code\n\nmain.py\n```\n"), F.replace(answer, F.lit("`"), F.lit("")), F.lit("\n```\n"))
+    request = F.concat("prompt", F.lit(E.EDIT_REQUEST + " main.py"))
+    edits = F.array(*[message(*m) for m in (("system", F.lit("s")), ("user", F.lit("u")), ("assistant", F.lit("a")), ("user", F.lit("u")), ("assistant", F.lit("a")), ("user", stub), ("assistant", F.lit("Ok.")), ("user", request), ("assistant", listing))])
+    rows = t("raw_traces").where("prompt is not null").withColumn("kind", F.get(kinds, (F.col("trace_id") % 4).cast("int")))
+    pair = F.array(message("user", F.col("prompt")), message("assistant", reply))
+    apart = F.array(message("user", F.col("prompt")), message("assistant", answer, thought))
+    turns = F.array(message("human", F.col("prompt")), message("gpt", reply))
+    return rows.select("trace_id", F.col("source").alias("group"), "kind", F.when(F.col("kind") == "tagged", pair).when(F.col("kind") == "apart", apart).when(F.col("kind") == "edits", edits).otherwise(turns).alias("messages"))
+
+
+def _lf(text):
+    return f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+def _strip(text):
+    return f"regexp_replace(regexp_replace({text}, '^{SPACE}+', ''), '{SPACE}+$', '')"
+
+
+_PROSE = f"regexp_replace(coalesce({_REASON}, ''), '{SPACE}+$', '')"
+_PARSED = f"""(select trace_id, kind, {_strip(_lf("case when kind = 2 then 'main.py' || chr(10) || '```' || chr(10) || 'pass' || chr(10) || '```' || chr(10) || chr(10) || " + _strip("prompt") + " else prompt end"))} as prompt,
+{_strip(_lf(f"case when kind = 2 then {_PROSE} else coalesce({_REASON}, '') end"))} as reasoning,
+{_strip(_lf(f"case when kind = 2 then '```python' || chr(10) || replace(coalesce({_ANSWER}, ''), '`', '') || chr(10) || '```' else coalesce({_ANSWER}, '') end"))} as answer,
+contains(case when kind = 2 then prompt || {_PROSE} || coalesce({_ANSWER}, '') else prompt || coalesce({_REASON}, '') || coalesce({_ANSWER}, '') end, chr(13)) as carriage
+from (select *, trace_id % 4 as kind from raw_traces where prompt is not null))"""
+_WHY = "case when reasoning = '' then 'no_reasoning' when answer = '' then 'no_answer' end"
+
+
+@query("p13_format_parser", f"select trace_id, {_WHY} as reason, carriage and {_WHY} is null as carriage, case when {_WHY} is null then sha1(prompt) end as prompt, case when {_WHY} is null then sha1(reasoning) end as reasoning, case when {_WHY} is null then sha1(answer) end as answer from {_PARSED}")
 def _(t):
-    listing = F.regexp_extract(X.answer(F.col("generation")), r"(?s)```python\n(.*?)```", 1)
-    return t("raw_traces").where("generation is not null and prompt is not null").select("trace_id", F.length("prompt").cast("long").alias("prompt_chars"), (listing != "").alias("has_listing"))
+    """Chat rows of four formats as prompt, reasoning and answer, or the reason why not."""
+    return E.parsed(chat_rows(t)).select("trace_id", "reason", "carriage", *[F.sha1(c).alias(c) for c in ("prompt", "reasoning", "answer")])
 
 
-_CHAIN = f"case when generation is null or not {_STARTS} then 'no_reasoning' when trim(regexp_extract(generation, '(?s)^\\s*<think>.*?</think>(.*)$', 1), chr(10) || chr(9) || ' ') = '' then 'no_answer' when len({words_sql(_REASON)}) < 20 then 'short_reasoning' when length(generation) > 3000 then 'over_length' else 'kept' end"
+_MEASURED = f"""(select trace_id, p.grp, sha1(prompt) as prompt_key, sha1(prompt || '<think>' || reasoning || '</think>' || answer) as text_key,
+case when {_WHY} is not null then {_WHY} when len({words_sql('reasoning')}) < 20 then 'short_reasoning' when len({words_sql("prompt || '<think>'")}) + len({words_sql('reasoning')}) + len({words_sql("'</think>' || answer")}) + 2 > 600 then 'over_length' when h.trace_id is not null then 'contaminated' end as reason
+from (select x.*, r.source as grp from {_PARSED} x join raw_traces r using (trace_id)) p left join (select distinct trace_id from ({grams_sql(f"(select trace_id, prompt || chr(10) || reasoning || chr(10) || answer as text from {_PARSED})", 'trace_id', 'text', 10)}) d join ({grams_sql('benchmark', 'item_id', 'text', 10)}) b using (gram)) h using (trace_id))"""
 
 
-def chain():
-    g = F.col("generation")
-    reason = X.reasoning(g)
-    return F.when(reason.isNull(), "no_reasoning").when(F.trim(X.answer(g), F.lit("\n\t ")) == "", "no_answer").when(F.size(X.words(reason)) < 20, "short_reasoning").when(F.length(g) > 3000, "over_length").otherwise("kept")
+def measured(t, size, least, most):
+    return E.measured(spread(E.parsed(chat_rows(t))), size, "trace_id", t("benchmark"), least, most)
+
 
+def by_words(text):
+    return F.size(X.words(text)).cast("long")
 
-@query("p14_drop_reason", f"select trace_id, {_CHAIN} as reason, coalesce(contains(generation, chr(13)), false) as carriage from raw_traces")
+
+@query("p14_drop_reason", f"select trace_id, reason from {_MEASURED}")
 def _(t):
-    return t("raw_traces").select("trace_id", chain().alias("reason"), F.coalesce(F.contains("generation", F.lit("\r")), F.lit(False)).alias("carriage"))
+    """The first reason that concerns a row by itself, sizes in words, benchmark overlap included."""
+    return measured(t, by_words, 20, 600).select("trace_id", "reason")
+
 
+_DECIDED = f"(select *, case when reason is null and copy > 1 then 'duplicate' else reason end as why from (select *, case when reason is null then row_number() over (partition by reason, text_key order by trace_id) end as copy from {_MEASURED}))"
 
-_KEY = "array_to_string(regexp_extract_all(lower(prompt), '[\\p{L}\\p{N}]+'), ' ')"
+
+@query("p15_ordered_drop_chain", f"select grp as \"group\", coalesce(case when why is null and k > 2 then 'capped' else why end, 'kept') as reason, count(*) as n from (select *, case when why is null then row_number() over (partition by grp, prompt_key, why order by sha1('9:' || trace_id), trace_id) end as k from {_DECIDED}) group by 1, 2")
+def _(t):
+    """The whole chain in words: reasons of a row, repeats, then two a prompt in each group."""
+    rows = measured(t, by_words, 20, 600)
+    groups = [r["group"] for r in rows.select("group").distinct().collect()]  # sources: a configuration's few names
+    done = E.decided(rows, "trace_id", {g: 2 for g in groups}, 9)
+    return done.groupBy("group", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("p15_ordered_drop_chain", f"select reason, count(*) as n from (select case when reason <> 'kept' then reason when copy > 1 then 'duplicate' when k > 2 then 'capped' else 'kept' end as reason from (select trace_id, reason, row_number() over (partition by reason, key, generation order by trace_id) as copy, row_number() over (partition by reason, problem_id order by sha1('9:' || trace_id), trace_id) as k from (select *, {_CHAIN} as reason, {_KEY} as key from raw_traces))) group by 1")
+@query("p15_token_drop_chain")
 def _(t):
-    rows = t("raw_traces").select("trace_id", "problem_id", "generation", chain().alias("reason"), X.problem_key(F.col("prompt")).alias("key")).withColumn("same", F.sha1("generation")).drop("generation")
-    copy = F.row_number().over(Window.partitionBy("reason", "key", "same").orderBy("trace_id"))
-    k = F.row_number().over(Window.partitionBy("reason", "problem_id").orderBy(F.sha1(F.concat(F.lit("9:"), F.col("trace_id").cast("string"))), "trace_id"))
-    final = F.when(F.col("reason") != "kept", F.col("reason")).when(F.col("copy") > 1, "duplicate").when(F.col("k") > 2, "capped").otherwise("kept")
-    return rows.withColumns({"copy": copy, "k": k}).select(final.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """The same in tokens of the vocabulary, for rows of 32,768; every second group is not capped."""
+    encode = Q.encoder(t.spark, Q.vocabulary(t("tokenizer_vocab")))
+    rows = measured(t, lambda text: F.size(encode(text)).cast("long"), 20, 32768)
+    groups = sorted(r["group"] for r in rows.select("group").where("group is not null").distinct().collect())
+    done = E.decided(rows, "trace_id", {g: 2 if i % 2 == 0 else None for i, g in enumerate(groups)}, 9)
+    return done.select("trace_id", "group", "reason", "context", "length")
+
+
+_STOCK = "|".join(E.WRAPPERS).replace("'", "''")
+_KEY = f"array_to_string(regexp_extract_all(lower(regexp_replace(prompt, '{_STOCK}', ' ', 'g')), '[\\p{{L}}\\p{{N}}]+'), ' ')"
 
 
-@query("p16_problem_key", f"select trace_id, sha1({_KEY}) as key from raw_traces where prompt is not null")
+@query("p16_problem_key", f"select trace_id, sha1({_KEY}) as key from (select trace_id, case trace_id % 4 when 0 then 'Please use python programming language only. ' || prompt when 1 then 'Write C++ code to solve the problem.' || chr(10) || prompt else prompt end as prompt from raw_traces where prompt is not null)")
 def _(t):
-    return t("raw_traces").where("prompt is not null").select("trace_id", F.sha1(X.problem_key(F.col("prompt"))).alias("key"))
+    """The problem behind prompts, some of them with a wrapper around it."""
+    k = F.col("trace_id") % 4
+    wrapped = F.when(k == 0, F.concat(F.lit("Please use python programming language only. "), "prompt")).when(k == 1, F.concat(F.lit("Write C++ code to solve the problem.\n"), "prompt")).otherwise(F.col("prompt"))
+    return t("raw_traces").where("prompt is not null").select("trace_id", F.sha1(E.problem_key(wrapped)).alias("key"))
 
 
 @query("p17_digests", "select source, count(distinct sha1(text)) as texts from documents where text is not null group by 1")
@@ -89,8 +166,16 @@ def _(t):
 
 @query("p19_imported_names")
 def _(t):
-    rows = t("repository_files").where("lang = 'Python' and content is not null").select("file_id", G.imported_names(X.normalize_lines(F.col("content"))).alias("names"))
-    return rows.where("size(names) > 0")
+    """Names that Python files import from one module, and all modules they import."""
+    rows = python_files(t).withColumn("found", G.imports("content"))
+    return rows.select("file_id", F.array_distinct(F.transform("found", lambda x: x["module"])).alias("modules"), G.names_from(F.col("found"), "math").alias("names")).where("size(modules) > 0")
+
+
+@query("p19_literal_names", "select * from (values (1, 'a,c'), (2, ''), (3, ''), (4, 'b')) v(k, names)")
+def _(t):
+    texts = ["from solution import c, a\nfrom solution import a as z\nimport os\n", "import solution\nfrom .solution import x\n", "from solution import *\n", "def f(:\n  pass\nfrom solution import (b)\n"]
+    rows = t.spark.createDataFrame(list(enumerate(texts, 1)), "k int, content string")
+    return rows.select("k", F.array_join(G.names_from(G.imports("content"), "solution"), ",").alias("names"))
 
 
 @query("p20_fenced_code", "select trace_id, sha1(coalesce(regexp_extract_all(generation, '(?s)```(?:python|py)[ \\t]*\\n(.*?)```', 1)[-1], regexp_extract_all(generation, '(?s)```[ \\t]*\\n(.*?)```', 1)[-1])) as code from raw_traces where generation is not null")
@@ -113,12 +198,28 @@ def _(t):
 
 @query("p23_solution_diagnostics")
 def _(t):
-    return t("completions").where("lang = 'Python' and text is not null").select("completion_id", G.diagnostics("text", F.lit(None).cast("string")).alias("diagnosis"))
+    """What is certainly wrong with Python completions: of the function their item's text defines, else of their last one."""
+    entry = F.regexp_extract("text", r"(?m)^def (\w+)\(", 1)
+    named = t("benchmark").where("lang = 'Python' and text is not null").select("item_id", F.when(entry != "", entry).alias("entry"))
+    rows = t("completions").where("lang = 'Python' and text is not null").select("completion_id", "item_id", "text").join(F.broadcast(named), "item_id", "left")
+    found = spread(rows).withColumn("found", G.functions("text"))
+    return found.select("completion_id", G.diagnosis(F.col("text"), F.col("found"), F.col("entry")).alias("diagnosis"))
+
+
+_LITERAL_SOLUTIONS = [("def f(x):\n    return x\n", "f"), ("def f(x):\n    return\n", "f"), ("def f(x):\n    def g():\n        return 1\n", "f"), ("def f(x):\n    yield x\n", "f"), ("def g(x):\n    return x\n", "f"), ("def f(x:\n", "f"), ("def f():\n    return 1\ndef f():\n    pass\n", "f"), (None, "f")]
+
+
+@query("p23_literal_solutions", "select * from (values (1, 'ok'), (2, 'returns_nothing'), (3, 'returns_nothing'), (4, 'returns_nothing'), (5, 'missing'), (6, 'unparsed'), (7, 'returns_nothing'), (8, null)) v(k, diagnosis)")
+def _(t):
+    rows = t.spark.createDataFrame([(k, *x) for k, x in enumerate(_LITERAL_SOLUTIONS, 1)], "k int, content string, entry string")
+    found = rows.withColumn("found", G.functions("content"))
+    return found.select("k", G.diagnosis(F.col("content"), F.col("found"), F.col("entry")).alias("diagnosis"))
 
 
 @query("p24_prompt_examples")
 def _(t):
-    rows = t("repository_files").where("lang = 'Python' and content is not null").select("file_id", F.explode(G.examples(X.normalize_lines(F.col("content")))).alias("e"))
+    """Interactive examples and assertions in the string literals of Python files."""
+    rows = python_files(t).select("file_id", F.explode(G.examples("content")).alias("e"))
     return rows.select("file_id", "e.source", "e.want")
 
 
