@@ -8,15 +8,16 @@ from pyspark.sql.window import Window
 
 from millrace.functions.hashing import draw, residue
 from millrace.functions.text import words
-from millrace.operators.ranking import global_rank, ntile_of
+from millrace.operators.ranking import global_rank, grouped_rank, ntile_of
 from millrace.session import spread
 
 
 def keep_first(frame: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in ``order``. Null keys are a key of their own; ties in the order are broken by no
-    column, so ``order`` should be total."""
-    rank = Window.partitionBy(*key).orderBy(*order)
-    return frame.withColumn("_n", F.row_number().over(rank)).where("_n = 1").drop("_n")
+    """The first row of each key in ``order``, found by a minimum that is combined before the shuffle, so a key may hold
+    any share of the rows. Null keys are a key of their own; ``order`` should be total."""
+    rest = [c for c in frame.columns if c not in key]
+    first = frame.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in frame.columns])
 
 
 def duplicate_addresses(frame: DataFrame, ident: str, address: list[str]) -> DataFrame:
@@ -79,8 +80,8 @@ def overlaps(documents: DataFrame, tests: DataFrame, ident: str, text: str, test
 
 def cap_equals(frame: DataFrame, group: list[str], ident: str, cap: int, seed: int) -> DataFrame:
     """At most ``cap`` rows of each group, in a seeded order that depends on the ident alone."""
-    order = Window.partitionBy(*group).orderBy(draw(F.col(ident), seed), ident)
-    return frame.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= cap).drop("_k")
+    ranked = grouped_rank(frame.withColumn("_draw", draw(F.col(ident), seed)), group, ["_draw", ident], rank="_k")
+    return ranked.where(F.col("_k") <= cap).drop("_k", "_draw")
 
 
 def extent(files: DataFrame, by: list[str], name: str, size: str, need: Column) -> DataFrame:

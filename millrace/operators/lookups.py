@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.ranking import grouped_rank
+
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """left plus the ``value`` of the last right row of the same ``by`` at or before ``at``; null without one.
@@ -37,9 +39,10 @@ def exactly_one(joined: DataFrame, key: str) -> DataFrame:
 
 
 def kth_occurrence(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
-    """The first left row of a key with the first right row, the second with the second, and so on."""
-    a = left.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*left_order)))
-    b = right.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*right_order)))
+    """The first left row of a key with the first right row, the second with the second, and so on. A key may hold any share
+    of the rows: occurrences are numbered over range partitions, and (key, occurrence) is unique."""
+    a = grouped_rank(left, key, left_order, rank="_k")
+    b = grouped_rank(right, key, right_order, rank="_k")
     return a.join(b, [*key, "_k"]).drop("_k")
 
 

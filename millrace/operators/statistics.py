@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from millrace.operators.hotjoin import hot_left_join
+from millrace.operators.ranking import global_rank
+from millrace.session import cut
+
 Z = NormalDist().inv_cdf(0.975)
 
 
@@ -72,15 +77,27 @@ def correlation(a: Column, b: Column) -> Column:
     return F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))
 
 
-def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """1-based rank, ties sharing the mean of theirs."""
-    ranked = Window.partitionBy(*(by or [F.lit(1)])).orderBy(value)
-    tied = Window.partitionBy(*(by or []), value)
-    return F.rank().over(ranked) + (F.count("*").over(tied) - 1) / 2
+def average_ranks(rows: DataFrame, value: str, name: str, row_id: str) -> DataFrame:
+    """rows plus ``name``: the 1-based rank of ``value``, ties sharing the mean of theirs; null for a null value.
+
+    Distinct values are counted and ranked, and their ranks joined back; a value may hold any share of the rows.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    ranked = global_rank(counts, [value], weight="_n", rank="_k", running="_upto")
+    keyed = ranked.select(value, "_n", (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+    return hot_left_join(rows, keyed, value, row_id, "_n", rows.count())
+
+
+def spearman(rows: DataFrame, a: str, b: str, row_id: str) -> DataFrame:
+    """One row: rho, the correlation of average ranks over rows with both values; null if a side does not vary."""
+    known = cut(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(row_id, a, b))
+    ranked = average_ranks(average_ranks(known, a, "_a", row_id), b, "_b", row_id)
+    return ranked.agg(correlation(F.col("_a"), F.col("_b")).alias("rho"))
 
 
 def holm(p: str, by: list[str]) -> Column:
-    """Step-down adjusted p-values within ``by``."""
+    """Step-down adjusted p-values within ``by``; over all rows (of a report) without."""
+    by = by or [F.lit(1)]
     order = Window.partitionBy(*by).orderBy(p)
     m = F.count(p).over(Window.partitionBy(*by))
     return F.least(F.lit(1.0), F.max((m - F.row_number().over(order) + 1) * F.col(p)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -88,13 +105,49 @@ def holm(p: str, by: list[str]) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def mcnemar_exact(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Two-sided exact binomial p of the discordant counts; 1 without any."""
+    """Two-sided exact binomial p of the discordant counts; 1 without any. Terms are summed as logarithms of binomials."""
     def one(x: int, y: int) -> float:
         n, low = x + y, min(x, y)
-        return min(1.0, 2 * sum(math.comb(n, i) for i in range(low + 1)) / 2**n) if n else 1.0
+        i = np.arange(1, low + 1, dtype=float)
+        terms = np.concatenate([[0.0], np.cumsum(np.log(n + 1 - i) - np.log(i))]) - n * math.log(2)
+        top = terms.max()
+        return min(1.0, 2 * math.exp(top) * float(np.exp(terms - top).sum())) if n else 1.0
     return pd.Series([one(int(x), int(y)) for x, y in zip(a, b)])
 
 
+@F.pandas_udf(T.DoubleType())
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    """The chance of a standard normal at least as far from 0 as z; null stays null."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+
+#: What a difference must be, in standard errors, to be found with 80 % power at 5 %.
+DETECTABLE = Z + NormalDist().inv_cdf(0.8)
+
+
+def compare(samples: DataFrame, by: list[str], problem: str, side: str, passed: str, cluster: str | None = None) -> DataFrame:
+    """Paired comparison of two sides, ``a`` and ``b``, over identical problems, a row for each value of ``by``:
+
+    n, the sides' mean pass rates (samples of a problem averaged first), diff = b - a with its standard error (clustered
+    if asked) and 95 % interval, the correlation of the rates (null if one is constant), the test and its p (exact
+    McNemar if every problem has one sample on both sides, else the normal test), p adjusted over all rows, and the
+    difference that would be detected. A problem that a side lacks is an error at run time.
+    """
+    is_a, is_b = F.col(side) == "a", F.col(side) == "b"
+    value = F.col(passed).cast("double")
+    per = samples.groupBy(*by, problem, *([cluster] if cluster else [])).agg(F.avg(F.when(is_a, value)).alias("_a"), F.avg(F.when(is_b, value)).alias("_b"), F.greatest(F.count_if(is_a), F.count_if(is_b)).alias("_k"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    per = per.withColumn("_d", F.when(both, F.col("_b") - F.col("_a")).otherwise(F.raise_error(F.lit("a problem on one side only")).cast("double")))
+    error = mean_with_error(per, by, "_d", cluster)
+    sides = per.groupBy(*by).agg(F.avg("_a").alias("a"), F.avg("_b").alias("b"), correlation(F.col("_a"), F.col("_b")).alias("corr"), F.max("_k").alias("_most"), F.count_if((F.col("_a") == 1) & (F.col("_b") == 0)).alias("_only_a"), F.count_if((F.col("_b") == 1) & (F.col("_a") == 0)).alias("_only_b"))
+    joined = error.join(sides, by)
+    exact = F.col("_most") == 1
+    z = F.col("mean") / F.nullif(F.col("se"), F.lit(0.0))
+    normal = F.coalesce(normal_two_sided(z), F.when(F.col("mean") == 0, 1.0).otherwise(0.0))
+    tested = joined.withColumns({"test": F.when(exact, "mcnemar").otherwise("normal"), "p": F.when(exact, mcnemar_exact("_only_a", "_only_b")).otherwise(normal)})
+    return tested.select(*by, "n", "a", "b", F.col("mean").alias("diff"), "se", "low", "high", "corr", "test", "p", holm("p", []).alias("p_holm"), (F.lit(DETECTABLE) * F.col("se")).alias("mde"))
+
+
 def parabola(x: Column, y: Column) -> dict[str, Column]:
     """Sums of the normal equations of a least-squares parabola."""
     return {"n": F.count(x)} | {f"x{k}": F.sum(F.pow(x, k)) for k in range(1, 5)} | {f"y{k}": F.sum(y * F.pow(x, k)) for k in range(0, 3)}

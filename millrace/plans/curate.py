@@ -14,7 +14,7 @@ from millrace.functions.names import repository_key
 from millrace.operators import curation as C
 from millrace.operators import graphs
 from millrace.operators import sampling as S
-from millrace.operators.ranking import global_rank, ntile_of
+from millrace.operators.ranking import global_rank, grouped_rank
 from millrace.plans.registry import query
 
 LF = "replace(replace(regexp_replace({0}, '^\\x{{FEFF}}+', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
@@ -228,21 +228,21 @@ def _(t):
 
 @query("w12_position_in_segment", "select repo_name, file_id, row_number() over w as position, coalesce(sum(length(content)) over (partition by repo_name order by relative_path, file_id rows between unbounded preceding and 1 preceding), 0)::bigint as before_chars from repository_files where repo_name is not null and content is not null window w as (partition by repo_name order by relative_path, file_id)")
 def _(t):
-    w = Window.partitionBy("repo_name").orderBy("relative_path", "file_id")
-    rows = t("repository_files").where("repo_name is not null and content is not null").select("repo_name", "file_id", "relative_path", F.length("content").alias("n"))
-    return rows.select("repo_name", "file_id", F.row_number().over(w).alias("position"), F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_chars"))
+    rows = t("repository_files").where("repo_name is not null and content is not null").select("repo_name", "file_id", "relative_path", F.length("content").cast("long").alias("n"))
+    ranked = grouped_rank(rows, ["repo_name"], ["relative_path", "file_id"], weight="n", rank="position")
+    return ranked.select("repo_name", "file_id", "position", (F.col("running") - F.col("n")).alias("before_chars"))
 
 
 @query("w13_request_seeds", "select trace_id, 100 + row_number() over (partition by problem_id order by trace_id) - 1 as seed from raw_traces")
 def _(t):
-    w = Window.partitionBy("problem_id").orderBy("trace_id")
-    return t("raw_traces").select("trace_id", (F.lit(99) + F.row_number().over(w)).alias("seed"))
+    ranked = grouped_rank(t("raw_traces").select("trace_id", "problem_id"), ["problem_id"], ["trace_id"])
+    return ranked.select("trace_id", (F.lit(99) + F.col("rank")).alias("seed"))
 
 
 @query("k01_order_in_shard", "select shard, doc_id, row_number() over (partition by shard order by id, doc_id) as position from (select doc_id, sha1(text) as id, (md5_number(doc_id::varchar) % 8)::bigint as shard from documents where text is not null)")
 def _(t):
     rows = t("documents").where("text is not null").select("doc_id", F.sha1("text").alias("id"), residue(F.col("doc_id").cast("string"), 8).alias("shard"))
-    return rows.select("shard", "doc_id", F.row_number().over(Window.partitionBy("shard").orderBy("id", "doc_id")).alias("position"))
+    return grouped_rank(rows, ["shard"], ["id", "doc_id"], rank="position").select("shard", "doc_id", "position")
 
 
 @query("k02_multi_key_sort", "select file_id, row_number() over (order by lower(repo_name) nulls first, relative_path nulls first, id nulls first, file_id) as rank from repository_files")
@@ -274,8 +274,28 @@ def _(t):
 
 @query("k09_prefix_need", "select source, doc_id from (select source, doc_id, coalesce(sum(n_chars) over (partition by source order by doc_id desc rows between unbounded preceding and 1 preceding), 0) as before from documents) where before < 20000")
 def _(t):
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, -1)
-    return t("documents").withColumn("before", F.coalesce(F.sum("n_chars").over(w), F.lit(0))).where("before < 20000").select("source", "doc_id")
+    rows = t("documents").select("source", "doc_id", "n_chars", (-F.col("doc_id")).alias("down"))
+    return S.prefix_need(rows, ["source"], ["down"], "n_chars", 20000).select("source", "doc_id")
+
+
+@query("k03_longest_first", "select hub_file, (k // 6)::bigint as turn, (case when (k // 6) % 2 = 0 then k % 6 else 5 - k % 6 end)::bigint as slot from (select hub_file, row_number() over (order by bytes desc, hub_file) - 1 as k from (select hub_file, sum(length(content)) as bytes from repository_files where hub_file is not null and content is not null group by 1))")
+def _(t):
+    """Files dealt to six slots, the longest first; what they give does not depend on it."""
+    files = t("repository_files").where("hub_file is not null and content is not null").groupBy("hub_file").agg(F.sum(F.length("content")).alias("bytes"))
+    return S.dealt_longest_first(files, "hub_file", "bytes", 6).select("hub_file", "turn", "slot")
+
+
+_NEAR = "select doc_id from documents where doc_id not in (select doc_id from ({0})) order by abs(n_chars - {1}), doc_id limit 1"
+_FIRST = "select 500.0::double as target, doc_id from (select doc_id from documents order by abs(n_chars - 500), doc_id limit 1)"
+_SECOND = f"{_FIRST} union all select 501.0::double, doc_id from ({_NEAR.format(_FIRST, 501)})"
+_THIRD = f"{_SECOND} union all select 4000.0::double, doc_id from ({_NEAR.format(_SECOND, 4000)})"
+
+
+@query("k07_nearest_distinct", _THIRD)
+def _(t):
+    """For each length asked for, the document nearest to it that is not chosen yet."""
+    chosen = S.nearest_distinct(t("documents").select("doc_id", "n_chars"), "doc_id", "n_chars", [500, 501, 4000])
+    return t.spark.createDataFrame(chosen, "target double, doc_id long")
 
 
 @query("s03_extent", "select source, hub_file, bytes from (select *, coalesce(sum(bytes) over (partition by source order by sha1(hub_file), hub_file rows between unbounded preceding and 1 preceding), 0) as before, sum(bytes) over (partition by source) as total from (select source, hub_file, sum(length(content))::bigint as bytes from repository_files where hub_file is not null and content is not null group by 1, 2)) where before < total / 2")
@@ -417,11 +437,3 @@ def _(t):
 def _(t):
     chosen = S.choose(t("raw_traces").select("problem_id").distinct(), "problem_id", 10, 3)
     return t("raw_traces").join(F.broadcast(chosen), "problem_id", "left_semi").select("trace_id", "problem_id")
-
-
-@query("q12_spans_in_rows", "select block, doc_id, (sum(n_chars) over (partition by block order by doc_id) - n_chars)::bigint as start, sum(n_chars) over (partition by block order by doc_id)::bigint as stop from (select doc_id, n_chars, (md5_number(doc_id::varchar) % 16)::bigint as block from documents)")
-def _(t):
-    w = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = t("documents").select("doc_id", "n_chars", residue(F.col("doc_id").cast("string"), 16).alias("block"))
-    stop = F.sum("n_chars").over(w)
-    return rows.select("block", "doc_id", (stop - F.col("n_chars")).alias("start"), stop.alias("stop"))

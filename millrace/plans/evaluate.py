@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from millrace.operators import sequences as Q
 from millrace.operators import statistics as S
+from millrace.operators.ranking import grouped_rank, quantiles
 from millrace.plans.registry import query
 from millrace.session import spread
 
@@ -85,10 +86,30 @@ def _(t):
     return paired(t).agg(F.count("*").alias("n"), r6(F.avg(b - a)).alias("diff"), r6(F.stddev_samp(b - a) / F.sqrt(F.count("*"))).alias("se"), r6(S.correlation(a.cast("double"), b.cast("double"))).alias("corr"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))
 
 
-@query("a12_mcnemar_exact")
+_BINOMIAL = "least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2)))))"
+
+
+@query("a12_mcnemar_exact", f"select only_a, only_b, round({_BINOMIAL}, 6) as p from (select count(*) filter (a and not b) as only_a, count(*) filter (b and not a) as only_b from ({_PAIR}))")
 def _(t):
     counts = paired(t).agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(F.col("b") & ~F.col("a")).alias("only_b"))
-    return counts.withColumn("p", S.mcnemar_exact("only_a", "only_b"))
+    return counts.withColumn("p", r6(S.mcnemar_exact("only_a", "only_b")))
+
+
+_SAMPLES = "(select 'slot ' || (hour(ts) % 3) as cell, user_id, event_type, (value > 60)::int as passed from events where event_type in ('click', 'view') union all select 'best', user_id, event_type, max(value) > 60 from events where event_type in ('click', 'view') group by 2, 3)"
+_RATES = f"(select *, b - a as d from (select cell, user_id, avg(passed) filter (event_type = 'click') as a, avg(passed) filter (event_type = 'view') as b, greatest(count(*) filter (event_type = 'click'), count(*) filter (event_type = 'view')) as k from {_SAMPLES} group by 1, 2) where a is not null and b is not null)"
+_ERF = "2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda i: (case when i % 2 = 0 then 1 else -1 end) * exp((2 * i + 1) * ln(x) - lgamma(i + 1)) / (2 * i + 1)))"
+_TESTED = f"(select *, case when most = 1 then {_BINOMIAL} when se > 0 and x > 4 then 0 when se > 0 and x > 0 then 1 - ({_ERF}) else 1 end as p from (select *, abs(diff / se) / sqrt(2) as x from (select cell, count(*) as n, avg(a) as a, avg(b) as b, avg(d) as diff, stddev_samp(d) / sqrt(count(*)) as se, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) as corr, max(k) as most, count(*) filter (a = 1 and b = 0) as only_a, count(*) filter (a = 0 and b = 1) as only_b from {_RATES} group by 1)))"
+
+
+@query("a12_compare", f"select cell, n, round(a, 6) as a, round(b, 6) as b, round(diff, 6) as diff, round(se, 6) as se, round(diff - {Z}::double * se, 6) as low, round(diff + {Z}::double * se, 6) as high, round(corr, 6) as corr, case when most = 1 then 'mcnemar' else 'normal' end as test, round(p, 5) as p, round(least(1, max((m - i + 1) * p) over (order by p, cell rows unbounded preceding)), 5) as p_holm, round({S.DETECTABLE!r}::double * se, 6) as mde from (select *, row_number() over (order by p, cell) as i, count(*) over () as m from {_TESTED})")
+def _(t):
+    """Clicks against views by user: a row for each slot of hours, with several samples, and one of a single sample."""
+    rows = t("events").where("event_type in ('click', 'view')").select(F.concat(F.lit("slot "), (F.hour("ts") % 3).cast("string")).alias("cell"), "user_id", "event_type", (F.col("value") > 60).cast("int").alias("passed"), "value")
+    best = rows.groupBy("user_id", "event_type").agg((F.max("value") > 60).cast("int").alias("passed")).select(F.lit("best").alias("cell"), "user_id", "event_type", "passed")
+    samples = rows.drop("value").unionByName(best).withColumn("side", F.when(F.col("event_type") == "click", "a").otherwise("b"))
+    both = samples.groupBy("cell", "user_id").agg(F.count_distinct("side").alias("sides")).where("sides = 2").drop("sides")
+    done = S.compare(samples.join(both, ["cell", "user_id"]), ["cell"], "user_id", "side", "passed")
+    return done.select("cell", "n", *[r6(c).alias(c) for c in ("a", "b", "diff", "se", "low", "high", "corr")], "test", F.round("p", 5).alias("p"), F.round("p_holm", 5).alias("p_holm"), r6("mde").alias("mde"))
 
 
 _P = "(select event_type, hour(ts) as h, round(1 / (1 + abs(avg(value) - 50)), 9) as p from events group by 1, 2)"
@@ -108,7 +129,9 @@ def _(t):
 
 @query("a14_medians", "select event_type, round(median(value), 6) as middle, round(avg((value > 40)::int), 6) as share from events where value > 5 group by 1")
 def _(t):
-    return t("events").where("value > 5").groupBy("event_type").agg(r6(F.median("value")).alias("middle"), r6(F.avg((F.col("value") > 40).cast("int"))).alias("share"))
+    rows = t("events").where("value > 5").select("event_type", "value")
+    share = rows.groupBy("event_type").agg(r6(F.avg((F.col("value") > 40).cast("int"))).alias("share"))
+    return quantiles(rows, ["event_type"], "value", {"middle": 0.5}).join(share, "event_type").select("event_type", r6("middle").alias("middle"), "share")
 
 
 @query("a15_rollout_summary", "select event_type, sum(n)::bigint as responses, count(*) as prompts, round(avg(hit::int), 6) as rate_per_prompt, round(sum(k) / sum(n), 6) as rate_per_response, count(*) filter (full_) as solved, count(*) filter (hit and not full_) as mixed from (select event_type, user_id, count(*) as n, count(*) filter (value > 30) as k, bool_or(value > 30) as hit, bool_and(value > 30) as full_ from events group by 1, 2) group by 1")
@@ -125,20 +148,24 @@ def _(t):
 
 @query("a17_quantile_block", "select o_orderpriority, count(*) as n, round(quantile_cont(o_totalprice, 0.1), 4) as p10, round(quantile_cont(o_totalprice, 0.5), 4) as p50, round(quantile_cont(o_totalprice, 0.9), 4) as p90, max(o_totalprice) as most from orders group by 1")
 def _(t):
-    q = lambda p: F.round(F.percentile("o_totalprice", F.lit(p)), 4)
-    return t("orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), F.max("o_totalprice").alias("most"))
+    rows = t("orders").select("o_orderpriority", "o_totalprice")
+    block = rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    q = quantiles(rows, ["o_orderpriority"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return block.join(q, "o_orderpriority").select("o_orderpriority", "n", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")], "most")
 
 
 @query("a18_grouping_shape", "select event_type, hour(ts) % 4 as slot, grouping(event_type) * 2 + grouping(hour(ts) % 4) as gid, count(*) as n, round(avg(value), 6) as mean from events group by grouping sets ((), (event_type), (hour(ts) % 4))")
 def _(t):
-    t("events").withColumn("slot", (F.hour("ts") % 4).cast("long")).createOrReplaceTempView("millrace_a18")
-    return t.spark.sql("select event_type, slot, grouping_id() as gid, count(*) as n, round(avg(value), 6) as mean from millrace_a18 group by grouping sets ((), (event_type), (slot))")
+    rows = t("events").select("event_type", (F.hour("ts") % 4).cast("long").alias("slot"), "value")
+    return rows.groupingSets([[], ["event_type"], ["slot"]], "event_type", "slot").agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
 
 
 @query("a19_termination", "select source, count(*) as n, count(*) filter (n_chars = 0) as empty, count(*) filter (n_chars between 1 and 1000) as short, count(*) filter (n_chars > 1000) as long, round(quantile_cont(n_chars, 0.5), 3) as middle from documents group by 1")
 def _(t):
     n = F.col("n_chars")
-    return t("documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(n == 0).alias("empty"), F.count_if(n.between(1, 1000)).alias("short"), F.count_if(n > 1000).alias("long"), F.round(F.percentile("n_chars", F.lit(0.5)), 3).alias("middle"))
+    rows = t("documents").select("source", "n_chars")
+    counts = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(n == 0).alias("empty"), F.count_if(n.between(1, 1000)).alias("short"), F.count_if(n > 1000).alias("long"))
+    return counts.join(quantiles(rows, ["source"], "n_chars", {"middle": 0.5}), "source", "left").withColumn("middle", F.round("middle", 3))
 
 
 @query("a19_closing_curve", "select budget, source, count(*) filter (n_chars <= budget) / count(*) as closed from documents, (select unnest([500, 1000, 2000, 4000, 8000]) as budget) group by 1, 2")
@@ -149,8 +176,7 @@ def _(t):
 
 @query("a20_spearman", "select round(corr(a, b), 6) as spearman from (select rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2 as a, rank() over (order by o_custkey) + (count(*) over (partition by o_custkey) - 1) / 2 as b from orders)")
 def _(t):
-    rows = t("orders").select(S.average_rank("o_totalprice").alias("a"), S.average_rank("o_custkey").alias("b"))
-    return rows.agg(r6(S.correlation(F.col("a"), F.col("b"))).alias("spearman"))
+    return S.spearman(t("orders"), "o_totalprice", "o_custkey", "o_orderkey").select(r6("rho").alias("spearman"))
 
 
 @query("a21_threshold_histogram", "select bucket, threshold, count(*) filter (n_chars >= threshold) as n from (select n_chars, case when n_chars < 500 then 0 when n_chars < 2000 then 1 else 2 end as bucket from documents), (select unnest([100, 1000, 10000]) as threshold) group by 1, 2")
@@ -160,16 +186,20 @@ def _(t):
     return rows.groupBy("bucket", "threshold").agg(F.count_if(F.col("n_chars") >= F.col("threshold")).alias("n"))
 
 
+def last_before(t, n):
+    """The last n events of each user before a moment."""
+    rows = t("events").where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).select("user_id", "event_id", "value", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("back"), (-F.col("event_id")).alias("down"))
+    return grouped_rank(rows, ["user_id"], ["back", "down"]).where(F.col("rank") <= n)
+
+
 @query("a23_job_cost", "select user_id, round(median(value), 6) as before from (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where ts < timestamp '2024-01-20') where k <= 50 group by 1")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t("events").where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).withColumn("k", F.row_number().over(w)).where("k <= 50").groupBy("user_id").agg(r6(F.median("value")).alias("before"))
+    return quantiles(last_before(t, 50), ["user_id"], "value", {"before": 0.5}).select("user_id", r6("before").alias("before"))
 
 
 @query("w11_last_before", "select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events where ts < timestamp '2024-01-20') where k <= 5")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return t("events").where(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")).withColumn("k", F.row_number().over(w)).where("k <= 5").select("user_id", "event_id")
+    return last_before(t, 5).select("user_id", "event_id")
 
 
 @query("a24_budget_summary", "select lang, count(*) filter (finish_reason = 'stop') as natural_, count(*) filter (finish_reason = 'length') as forced, count(*) filter (finish_reason is null) as unknown from completions group by 1")
@@ -182,8 +212,10 @@ def _(t):
 def _(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gaps = t("events").withColumn("at", at).withColumn("gap", F.col("at") - F.lag("at").over(w)).where("gap is not null")
-    return gaps.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean"), F.round(F.median("gap"), 4).alias("middle"), F.round(F.percentile("gap", F.lit(0.99)), 4).alias("p99"), r6(F.count("*") / F.sum("gap")).alias("throughput"))
+    gaps = t("events").withColumn("at", at).select("user_id", (F.col("at") - F.lag("at").over(w)).alias("gap")).where("gap is not null")
+    sums = gaps.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean"), r6(F.count("*") / F.sum("gap")).alias("throughput"))
+    q = quantiles(gaps, ["user_id"], "gap", {"middle": 0.5, "p99": 0.99})
+    return sums.join(q, "user_id").select("user_id", "n", "mean", F.round("middle", 4).alias("middle"), F.round("p99", 4).alias("p99"), "throughput")
 
 
 @query("a26_parabola", "with s as (select count(*)::double n, sum(x) x1, sum(x**2) x2, sum(x**3) x3, sum(x**4) x4, sum(y) y0, sum(y*x) y1, sum(y*x*x) y2 from (select p_size / 50 as x, p_retailprice / 1000 as y from part)), d as (select *, n*(x2*x4-x3*x3) - x1*(x1*x4-x3*x2) + x2*(x1*x3-x2*x2) as det from s) select round((n*(x2*y2-x3*y1) - x1*(x1*y2-y1*x2) + y0*(x1*x3-x2*x2)) / det, 5) as a, round((n*(y1*x4-y2*x3) - y0*(x1*x4-x3*x2) + x2*(x1*y2-y1*x2)) / det, 5) as b, round((y0*(x2*x4-x3*x3) - x1*(y1*x4-x3*y2) + x2*(y1*x3-x2*y2)) / det, 5) as c from d")
@@ -300,5 +332,14 @@ def _(t):
 
 @query("a03_split_stats", "select source, count(*) as rows_, count(distinct group_key) as groups_, sum(n_chars + 2)::bigint as total, round_even(quantile_cont(n_chars, 0.1), 0)::bigint as q1, round_even(quantile_cont(n_chars, 0.5), 0)::bigint as q5, round_even(quantile_cont(n_chars, 0.9), 0)::bigint as q9, max(n_chars) as most from documents group by 1")
 def _(t):
-    q = lambda p: F.bround(F.percentile("n_chars", F.lit(p)), 0).cast("long")
-    return t("documents").groupBy("source").agg(F.count("*").alias("rows_"), F.count_distinct("group_key").alias("groups_"), F.sum(F.col("n_chars") + 2).alias("total"), q(0.1).alias("q1"), q(0.5).alias("q5"), q(0.9).alias("q9"), F.max("n_chars").alias("most"))
+    rows = t("documents").select("source", "group_key", "n_chars")
+    counts = rows.groupBy("source").agg(F.count("*").alias("rows_"), F.count_distinct("group_key").alias("groups_"), F.sum(F.col("n_chars") + 2).alias("total"), F.max("n_chars").alias("most"))
+    q = quantiles(rows, ["source"], "n_chars", {"q1": 0.1, "q5": 0.5, "q9": 0.9})
+    return counts.join(q, "source", "left").select("source", "rows_", "groups_", "total", *[F.bround(c, 0).cast("long").alias(c) for c in ("q1", "q5", "q9")], "most")
+
+
+@query("t10_late_values", "select user_id, event_id, lag(value) over (partition by user_id order by ts, event_id) as logged from events")
+def _(t):
+    """What a log holds that writes each step's value with the next step."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return t("events").select("user_id", "event_id", F.lag("value").over(w).alias("logged"))

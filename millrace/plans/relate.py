@@ -15,10 +15,15 @@ def r6(c):
     return F.round(c, 6)
 
 
-@query("j04_verdict_lookup", "select c.completion_id, l.quality from completions c left join (select doc_id, any_value(quality) as quality from labels group by 1) l on c.completion_id = l.doc_id")
+_VERDICTS = "(select item_id, sample_no, case when count(*) filter (finish_reason = 'stop') > 0 then 'pass' else 'fail' end as verdict from completions where text is not null and sample_no % 2 = 0 group by 1, 2)"
+
+
+@query("j04_verdict_lookup", f"select c.completion_id, v.verdict, v.verdict = 'pass' as success from completions c left join {_VERDICTS} v using (item_id, sample_no)")
 def _(t):
-    verdicts = t("labels").groupBy(F.col("doc_id").alias("completion_id")).agg(F.first("quality").alias("quality"))
-    return t("completions").select("completion_id").join(verdicts, "completion_id", "left")
+    """Each sample with its verdict by (item, sample): those not judged have neither verdict nor success."""
+    judged = t("completions").where("text is not null and sample_no % 2 = 0")
+    verdicts = judged.groupBy("item_id", "sample_no").agg(F.when(F.count_if(F.col("finish_reason") == "stop") > 0, "pass").otherwise("fail").alias("verdict"))
+    return t("completions").select("completion_id", "item_id", "sample_no").join(verdicts, ["item_id", "sample_no"], "left").select("completion_id", "verdict", (F.col("verdict") == "pass").alias("success"))
 
 
 @query("j05_held_out", "select c_custkey from customer where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 5000) and c_name not in (select replace(s_name, 'Supplier', 'Customer') from supplier)")
@@ -42,9 +47,16 @@ def _(t):
     return L.as_of(left, right, "user_id", "ts", "purchase").select("event_id", "purchase")
 
 
-@query("j09_mixture_choice", f"select n_nationkey, (0.2::double <= p)::int + (0.5::double <= p)::int + (0.9::double <= p)::int as choice from (select n_nationkey, (n_nationkey + 1) * {GOLDEN}::double - floor((n_nationkey + 1) * {GOLDEN}::double) as p from nation)")
+@query("j09_mixture_choice", f"with g as (select group_name, share, sum(share) over (order by group_name rows unbounded preceding) as upto, row_number() over (order by group_name) - 1 as k from mixture_groups where stage = 'file_level' and share_kind = 'fixed'), p as (select doc_id, ((doc_id + 1) * {GOLDEN}::double - floor((doc_id + 1) * {GOLDEN}::double)) * (select sum(share) from g) as spot from documents) select doc_id, (select count(*) from g where upto <= spot)::int as choice from p")
 def _(t):
-    return t("nation").select("n_nationkey", weyl_choice(F.col("n_nationkey"), [0.2, 0.5, 0.9]).alias("choice"))
+    """The group of the mixture that each row of training is drawn from: an even sequence of points against the running
+    shares of the groups."""
+    groups = t("mixture_groups").where("stage = 'file_level' and share_kind = 'fixed'").select("group_name", "share").orderBy("group_name").collect()  # a configuration's few rows
+    bounds, total = [], 0.0
+    for g in groups:
+        total += g.share
+        bounds.append(total)
+    return t("documents").select("doc_id", weyl_choice(F.col("doc_id"), bounds, total).alias("choice"))
 
 
 _KTH = "select l_partkey, l_orderkey, l_linenumber, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as k from lineitem where l_returnflag = "
@@ -76,12 +88,12 @@ def _(t):
     return t("documents").where("text is not null").select("doc_id", F.substr("text", F.lit(11), F.lit(30)).alias("span")).join(t("labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "span")
 
 
-_CACHED = "(select doc_id, any_value(quality) as quality from labels group by 1)"
+_CACHED = "(select doc_id, min(quality) as quality from labels group by 1)"
 
 
 @query("j15_cached_verdicts", f"select d.doc_id, coalesce(l.quality, case when d.n_chars > 1000 then 'long' else 'short' end) as verdict, l.quality is not null as cached from documents d left join {_CACHED} l using (doc_id) where d.category = 'text'")
 def _(t):
-    cache = t("labels").groupBy("doc_id").agg(F.first("quality").alias("quality"))
+    cache = t("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = t("documents").where("category = 'text'").select("doc_id", "n_chars").join(cache, "doc_id", "left")
     hit = rows.where("quality is not null").select("doc_id", F.col("quality").alias("verdict"), F.lit(True).alias("cached"))
     miss = rows.where("quality is null").select("doc_id", F.when(F.col("n_chars") > 1000, "long").otherwise("short").alias("verdict"), F.lit(False).alias("cached"))
@@ -121,11 +133,19 @@ def _(t):
     return t("completions").select("completion_id", verdict.alias("verdict"))
 
 
-@query("j21_trivial_prompts", "select trace_id, case when generation is null or generation not like '%</think>%' then 'not_closed' when problem_id in (select problem_id from raw_traces group by 1 having count(*) > 5) then 'pass_trivial' else 'pass' end as verdict from raw_traces")
+_STUBS = "(select distinct item_id from completions where sample_no = 0 and finish_reason = 'stop' and length(text) < 600)"
+
+
+@query("j21_trivial_prompts", f"select completion_id, case when finish_reason = 'length' or finish_reason is null then 'not_closed' when text is null then 'no_code' when v.verdict = 'pass' and item_id in {_STUBS} then 'pass_trivial' else coalesce(v.verdict, 'no_verdict') end as verdict from completions left join {_VERDICTS} v using (item_id, sample_no)")
 def _(t):
-    trivial = t("raw_traces").groupBy("problem_id").agg(F.count("*").alias("n")).where("n > 5").select("problem_id", F.lit(True).alias("trivial"))
-    closed = F.coalesce(F.contains("generation", F.lit("</think>")), F.lit(False))
-    return t("raw_traces").join(trivial, "problem_id", "left").select("trace_id", F.when(~closed, "not_closed").when(F.col("trivial"), "pass_trivial").otherwise("pass").alias("verdict"))
+    """One row a response: unclosed ones first, then those without code; a pass on an item that a stub (here a short first
+    sample) passes too is trivial; else the verdict found for (item, sample)."""
+    judged = t("completions").where("text is not null and sample_no % 2 = 0")
+    verdicts = judged.groupBy("item_id", "sample_no").agg(F.when(F.count_if(F.col("finish_reason") == "stop") > 0, "pass").otherwise("fail").alias("found"))
+    stubs = t("completions").where("sample_no = 0 and finish_reason = 'stop' and length(text) < 600").select("item_id").distinct().withColumn("trivial", F.lit(True))
+    rows = t("completions").select("completion_id", "item_id", "sample_no", "finish_reason", F.col("text").isNull().alias("empty")).join(verdicts, ["item_id", "sample_no"], "left").join(stubs, "item_id", "left")
+    open_ = F.col("finish_reason").isNull() | (F.col("finish_reason") == "length")
+    return rows.select("completion_id", F.when(open_, "not_closed").when(F.col("empty"), "no_code").when((F.col("found") == "pass") & F.col("trivial"), "pass_trivial").otherwise(F.coalesce("found", F.lit("no_verdict"))).alias("verdict"))
 
 
 @query("j22_context_keys", "select trace_id, sha256(array_to_string(list_filter(regexp_split_to_array(prompt, '[\\t\\n\\v\\f\\r ]+'), lambda w: w <> '')[1:16], ',')) as key from raw_traces where prompt is not null")
@@ -136,7 +156,7 @@ def _(t):
 
 @query("j23_first_record", f"select d.doc_id, coalesce(l.quality, b.kind) as found from documents d left join {_CACHED} l using (doc_id) left join (select distinct item_id + 1000000 as doc_id, 'item' as kind from benchmark) b using (doc_id)")
 def _(t):
-    cache = t("labels").groupBy("doc_id").agg(F.first("quality").alias("quality"))
+    cache = t("labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     items = t("benchmark").select((F.col("item_id") + 1000000).alias("doc_id")).distinct().withColumn("kind", F.lit("item"))
     return t("documents").select("doc_id").join(cache, "doc_id", "left").join(items, "doc_id", "left").select("doc_id", F.coalesce("quality", "kind").alias("found"))
 
