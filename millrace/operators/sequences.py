@@ -6,6 +6,7 @@ import ast
 import base64
 import bisect
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Fixed value: the split pattern that goes with the vocabulary's file format.
 PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++|\s*[\r\n]|\s+(?!\S)|\s+"""
@@ -65,34 +67,57 @@ def encoder(spark, ranks: dict[bytes, int], pattern: str = PATTERN) -> Callable[
 
 # ---- pieces
 
-def statement_starts(text: str) -> list[int]:
-    """Character positions at which a top-level Python statement starts; line starts if the text does not parse."""
-    lines = [0]
-    for i, c in enumerate(text):
-        if c == "\n":
-            lines.append(i + 1)
+def python_statements(text: str) -> list[int]:
+    """Character positions of the lines on which a top-level statement starts; every line start if the text does not parse."""
+    lines = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, MemoryError, RecursionError):
         return lines
-    return sorted({lines[min((n.decorator_list[0].lineno if getattr(n, "decorator_list", None) else n.lineno) - 1, len(lines) - 1)] for n in tree.body})
+    return sorted({lines[min(min([n.lineno, *(d.lineno for d in getattr(n, "decorator_list", []))]) - 1, len(lines) - 1)] for n in tree.body})
 
 
-def cut_pieces(starts: list[int], text: str, window: int, python: bool) -> list[tuple[int, int]]:
-    """Token ranges of at most ``window`` tokens whose ends fall on the last statement start in reach, else on the last
-    line end, else where the window ends. ``starts`` are the tokens' character positions, and the text's length last."""
+_CPP = re.compile(r"//[^\n]*|/\*.*?\*/|R\"([^()\\\s]{0,16})\(.*?\)\1\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|^[ \t]*#(?:\\\n|[^\n])*|[{}();]", re.S | re.M)
+
+
+def cpp_statements(text: str) -> list[int]:
+    """Character positions of the lines that follow a statement ending outside all brackets: after a semicolon or a closing
+    brace at level 0, or after a directive. Comments and literals hold no brackets."""
+    depth, starts = 0, {0}
+    for token in _CPP.finditer(text):
+        found = token.group(0)
+        if found in ("{", "("):
+            depth += 1
+        elif found in ("}", ")"):
+            depth = max(0, depth - 1)
+        if depth == 0 and (found in (";", "}") or found.lstrip(" \t").startswith("#")):
+            end = text.find("\n", token.end())
+            if end >= 0 and not text[token.end() : end].strip():
+                starts.add(end + 1)
+    return sorted(starts)
+
+
+STATEMENTS = {"Python": python_statements, "C++": cpp_statements}
+
+
+def cut_pieces(starts: list[int], text: str, window: int, language: str | None) -> list[tuple[int, int]]:
+    """Token ranges of at most ``window`` tokens whose ends fall on the last statement start in reach (of a language whose
+    statements are known), else on the last line end, else on the last character start. ``starts`` are the characters that
+    begin before each token, and the text's length last."""
     n = len(starts) - 1
-    good = set(statement_starts(text)) if python else set()
+    good = set(STATEMENTS[language](text)) if language in STATEMENTS else set()
     pieces, at = [], 0
     while n - at > window:
-        best = line = 0
+        best = line = whole = 0
         for k in range(at + window, at, -1):
-            if starts[k] in good:
+            if starts[k] in good and starts[k] > starts[k - 1]:
                 best = k
                 break
             if not line and text[starts[k] - 1 : starts[k]] == "\n":
                 line = k
-        end = best or line or at + window
+            if not whole and starts[k] > starts[k - 1]:
+                whole = k
+        end = best or line or whole or at + window
         pieces.append((at, end))
         at = end
     if n:
@@ -101,10 +126,10 @@ def cut_pieces(starts: list[int], text: str, window: int, python: bool) -> list[
 
 
 def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Column, Column], Column]:
-    """(text, lang) -> ARRAY<STRUCT<start, end>> of token ranges."""
+    """(text, lang) -> ARRAY<STRUCT<start, end, from, to>> of token ranges and their character ranges."""
     shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "from", "to")])))
     def cut(texts: pd.Series, langs: pd.Series) -> pd.Series:
         coder = _encoding(shared.value, PATTERN)
 
@@ -113,30 +138,51 @@ def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Colum
                 return []
             ids = coder.encode_ordinary(text)
             if len(ids) <= window:
-                return [(0, len(ids))] if ids else []
+                return [(0, len(ids), 0, len(text))] if ids else []
             data = [coder.decode_single_token_bytes(i) for i in ids]
             at, starts = 0, []
             for token in data:  # characters whose first byte stands before the token
                 starts.append(at)
                 at += sum((b & 0xC0) != 0x80 for b in token)
-            return cut_pieces([*starts, len(text)], text, window, lang == "Python")
+            starts.append(len(text))
+            return [(a, b, starts[a], starts[b]) for a, b in cut_pieces(starts, text, window, lang)]
 
-        return pd.Series([[{"start": a, "end": b} for a, b in one(t, g)] for t, g in zip(texts, langs)])
+        return pd.Series([[dict(zip(("start", "end", "from", "to"), piece)) for piece in one(t, g)] for t, g in zip(texts, langs)])
 
     return cut
 
 
 # ---- infilling
 
-def infill(text: str, key: str, rate: float = 0.5) -> tuple[str, str] | None:
-    """(mode, example) of a text whose middle, a span between line starts, is moved to the end; null if not drawn. The draw
-    depends on the key alone."""
+def node_spans(text: str) -> list[tuple[int, int]]:
+    """Character ranges of the statements and expressions of a Python text, in order; none if it does not parse."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        return []
+    lines = text.split("\n")
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
+
+    def at(line: int, column: int) -> int:  # columns of the tree are bytes
+        held = lines[line - 1] if line <= len(lines) else ""
+        return int(begin[line - 1]) + (column if held.isascii() else len(held.encode()[:column].decode(errors="ignore")))
+
+    return sorted({(at(n.lineno, n.col_offset), at(n.end_lineno, n.end_col_offset)) for n in ast.walk(tree) if isinstance(n, (ast.stmt, ast.expr))})
+
+
+def infill(text: str, key: str, language: str | None = None, rate: float = 0.5) -> tuple[str, str] | None:
+    """(mode, example) of a text whose middle is moved to the end; null if not drawn. The middle is one node of the syntax
+    tree, by even chance and where there is a tree, else a span between line starts. All draws depend on the key alone."""
     digest = hashlib.sha256(key.encode()).digest()
-    draw = [int.from_bytes(digest[i : i + 4], "big") / 2**32 for i in range(0, 16, 4)]
+    draw = [int.from_bytes(digest[i : i + 4], "big") / 2**32 for i in range(0, 20, 4)]
     starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n" and i + 1 < len(text)]
     if draw[0] >= rate or len(starts) < 2:
         return None
-    a, b = sorted((starts[int(draw[1] * len(starts))], [*starts[1:], len(text)][int(draw[2] * len(starts))]))
+    nodes = node_spans(text) if language == "Python" and draw[4] < 0.5 else []
+    if nodes:
+        a, b = nodes[int(draw[1] * len(nodes))]
+    else:
+        a, b = sorted((starts[int(draw[1] * len(starts))], [*starts[1:], len(text)][int(draw[2] * len(starts))]))
     if a == b:
         return None
     prefix, middle, suffix = text[:a], text[a:b], text[b:]
@@ -146,27 +192,39 @@ def infill(text: str, key: str, rate: float = 0.5) -> tuple[str, str] | None:
 
 
 @F.pandas_udf(T.StructType([T.StructField("mode", T.StringType()), T.StructField("example", T.StringType())]))
-def infilled(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    rows = [infill(t, k) if t is not None else None for t, k in zip(texts, keys)]
+def infilled(texts: pd.Series, keys: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    rows = [infill(t, k, g) if t is not None else None for t, k, g in zip(texts, keys, langs)]
     return pd.DataFrame([r or (None, None) for r in rows], columns=["mode", "example"])
 
 
 # ---- packing
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """Row of each item by best-fit decreasing; equal sizes and equal gaps in order. Sizes beyond the capacity raise."""
-    rows, gaps = [0] * len(sizes), []
-    used = 0
+def best_fit(sizes: list[int], capacity: int, closed: list[bool] | None = None) -> list[int]:
+    """Row of each item by best-fit decreasing: equal sizes in order, of equally good rows the one last put into.
+
+    A ``closed`` item must be followed by one more slot unless an open item stands in its row: a row of closed items
+    alone keeps a slot free, which an open item may take. Without ``closed`` all items are open. Sizes that fit no row
+    raise.
+    """
+    rows, used, puts = [0] * len(sizes), 0, 0
+    waiting: tuple[list, list] = ([], [])  # (room, -put, row): rows of closed items alone, net of their slot; all others
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
+        size, slot = sizes[i], int(closed is None or not closed[i])
+        if size > capacity - 1 + slot:
             raise ValueError("an item is longer than a row")
-        at = bisect.bisect_left(gaps, (sizes[i], -1))
-        if at == len(gaps):
-            row, gap, used = used, capacity, used + 1
+        offers = []
+        for kind, need in ((0, size - slot), (1, size)):
+            at = bisect.bisect_left(waiting[kind], (need, -puts - 1, 0))
+            if at < len(waiting[kind]):
+                offers.append((waiting[kind][at][0] + (slot if kind == 0 else 0), kind, at))
+        if offers:
+            free, kind, at = min(offers)
+            row = waiting[kind].pop(at)[2]
         else:
-            gap, row = gaps.pop(at)
-        rows[i] = row
-        bisect.insort(gaps, (gap - sizes[i], row))
+            free, kind, row, used = capacity - 1 + slot, 0, used, used + 1
+        rows[i], puts = row, puts + 1
+        if free > size:
+            bisect.insort(waiting[max(kind, slot)], (free - size, -puts, row))
     return rows
 
 
@@ -183,62 +241,141 @@ def first_fit(sizes: list[int], capacity: int, most: int) -> list[int]:
     return rows
 
 
-def pack_shards(pieces: DataFrame, shard: str, ident: str, size: str, capacity: int, most: int | None = None) -> DataFrame:
-    """(shard, ident, size, row) by best fit, or first fit if ``most`` items may share a row. Every shard is packed alone."""
-    kind = {f.name: f.dataType for f in pieces.schema}
-    schema = T.StructType([T.StructField(shard, kind[shard]), T.StructField(ident, kind[ident]), T.StructField(size, kind[size]), T.StructField("row", T.LongType())])
+#: Items of a shard that are packed together, about: the shards follow the number of items, so tasks stay equal.
+SHARD_ITEMS = 50_000
+
+
+def shard_of(items: int, *ident: str) -> Column:
+    """The shard of an item, of as many shards as ``items`` items need."""
+    return F.pmod(F.xxhash64(*ident), F.lit(max(1, -(-items // SHARD_ITEMS))))
+
+
+def pack_shards(pieces: DataFrame, shard: str, ident: list[str], size: str, capacity: int, most: int | None = None, closed: str | None = None) -> DataFrame:
+    """(shard, *ident, size[, closed], row) by best fit, or first fit if ``most`` items may share a row. Every shard is packed
+    alone, equal sizes in the order of ``ident``."""
+    keep = [shard, *ident, size, *([closed] if closed else [])]
+    schema = T.StructType([*pieces.select(*keep).schema.fields, T.StructField("row", T.LongType())])
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([ident, size])
+        frame = frame.sort_values([*ident, size], kind="stable")
         sizes = frame[size].tolist()
-        return frame.assign(row=best_fit(sizes, capacity) if most is None else first_fit(sizes, capacity, most))[[shard, ident, size, "row"]]
+        rows = first_fit(sizes, capacity, most) if most is not None else best_fit(sizes, capacity, frame[closed].tolist() if closed else None)
+        return frame.assign(row=rows)[[*keep, "row"]]
+
+    return pieces.select(*keep).groupBy(shard).applyInPandas(place, schema)
 
-    return pieces.select(shard, ident, size).groupBy(shard).applyInPandas(place, schema)
+
+def spans_in_rows(packed: DataFrame, ident: str = "doc_id", size: str = "size") -> DataFrame:
+    """(shard, row, ident, start, stop) of the items of ``pack_shards``, a slot for the start mark before each; an item in
+    more than one piece is an error at run time."""
+    pieces = packed.groupBy(ident).agg(F.count("*").alias("_n"))
+    before = F.sum(size).over(Window.partitionBy("shard", "row").orderBy(ident).rowsBetween(Window.unboundedPreceding, 0))
+    checked = packed.withColumn("stop", before).join(pieces, ident).withColumn("_one", F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("an item in more than one piece")).cast("boolean")))
+    return checked.where("_one").select("shard", "row", ident, (F.col("stop") - F.col(size) + 1).alias("start"), "stop")
 
 
 # ---- repetition
 
+def end_matches(tokens: np.ndarray, most: int) -> np.ndarray:
+    """For each distance up to ``most`` (and below the length): how many tokens at the end equal those that distance earlier.
+
+    One pass over the reversed sequence: inside the stretch that some earlier distance is known to match, lengths repeat.
+    """
+    back = tokens[::-1].tolist()
+    n = len(back)
+    found = np.zeros(min(most, max(0, n - 1)) + 1, dtype=np.int64)
+    left = right = 0
+    for p in range(1, len(found)):
+        length = min(right - p, int(found[p - left])) if p < right else 0
+        while p + length < n and back[length] == back[p + length]:
+            length += 1
+        if p + length > right:
+            left, right = p, p + length
+        found[p] = length
+    return found
+
+
+#: A response is in a cycle if its last CYCLE_TAIL tokens equal those up to MOST_PERIOD before; it repeats
+#: itself if of its last REPEAT_TAIL tokens the share LOOP stands in runs of REPEAT_WINDOW that recur there, asked every
+#: CHECK tokens.
+CYCLE_TAIL, MOST_PERIOD, REPEAT_TAIL, REPEAT_WINDOW, LOOP, CHECK = 1024, 2048, 4096, 32, 0.99, 2048
+
+
+def find_cycle(tokens: list, tail: int = CYCLE_TAIL, most: int = MOST_PERIOD) -> tuple[int | None, int | None]:
+    """(period, onset): the least period at which the last ``tail`` tokens all equal those one period before, and the first
+    place from which every token equals the one a period later; nulls if there is none."""
+    matches = end_matches(np.asarray(tokens), most)
+    periods = np.flatnonzero(matches >= max(1, tail))
+    if not len(periods):
+        return None, None
+    period = int(periods[0])
+    return period, len(tokens) - period - int(matches[period])
+
+
 @F.pandas_udf(T.StructType([T.StructField("period", T.IntegerType()), T.StructField("onset", T.IntegerType())]))
 def cycle(ids: pd.Series, tail: pd.Series, most: pd.Series) -> pd.DataFrame:
-    """The least period up to ``most`` with which the last ``tail`` tokens repeat, and where that stretch begins."""
-    out = []
-    for tokens, window, limit in zip(ids, tail, most):
-        period, onset = find_cycle(list(tokens), int(window), int(limit)) if tokens is not None else (None, None)
-        out.append((period, onset))
+    """``find_cycle`` of each sequence; nulls for a null one."""
+    out = [find_cycle(list(tokens), int(window), int(limit)) if tokens is not None else (None, None) for tokens, window, limit in zip(ids, tail, most)]
     return pd.DataFrame(out, columns=["period", "onset"]).astype("Int32")
 
 
-def find_cycle(tokens: list, tail: int, most: int) -> tuple[int | None, int | None]:
-    if len(tokens) < tail:
-        return None, None
-    end = np.array(tokens[-tail:], dtype=object)
-    for p in range(1, min(most, tail - 1) + 1):
-        if (end[p:] == end[:-p]).all():
-            at = len(tokens) - tail
-            while at > 0 and tokens[at - 1] == tokens[at - 1 + p]:
-                at -= 1
-            return p, at
-    return None, None
-
-
-def dry_lengths(tokens: list, breakers: set, most: int = 64) -> dict:
-    """For each token seen before: the longest match of the sequence's end with the text before an occurrence of it, at
-    most ``most``; a breaker ends every match."""
-    found: dict = {}
+def recurring(tokens: np.ndarray, window: int) -> np.ndarray:
+    """Which tokens stand inside a run of ``window`` tokens that occurs more than once."""
     n = len(tokens)
-    if not n or tokens[-1] in breakers:
-        return found
-    for j in range(n - 1):
-        k = 0
-        while k < most and j - k >= 0 and tokens[j - k] == tokens[n - 1 - k] and tokens[j - k] not in breakers:
-            k += 1
-        if k:
-            found[tokens[j + 1]] = max(found.get(tokens[j + 1], 0), k)
-    return found
+    if n < window:
+        return np.zeros(n, dtype=bool)
+    runs = np.lib.stride_tricks.sliding_window_view(tokens, window)
+    _, kind, count = np.unique(runs, axis=0, return_inverse=True, return_counts=True)
+    begin = np.flatnonzero(count[kind.ravel()] > 1)
+    edges = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edges, begin, 1)
+    np.add.at(edges, begin + window, -1)
+    return np.cumsum(edges[:n]) > 0
+
+
+def repeats_itself(tokens: list, tail: int = REPEAT_TAIL, window: int = REPEAT_WINDOW, share: float = LOOP, check: int = CHECK) -> bool:
+    """Whether the repetition rule, asked at every multiple of ``check`` tokens from ``tail`` on, stops the sequence here."""
+    n = len(tokens)
+    return n >= tail and n % check == 0 and bool(recurring(np.asarray(tokens)[-tail:], window).mean() >= share)
+
+
+@F.pandas_udf(T.BooleanType())
+def repetition_stop(ids: pd.Series, tail: pd.Series, window: pd.Series, check: pd.Series) -> pd.Series:
+    return pd.Series([repeats_itself(list(t), int(a), int(w), LOOP, int(c)) if t is not None else None for t, a, w, c in zip(ids, tail, window, check)], dtype="object")
+
+
+#: The repetition penalty's parameters, and the longest match it measures.
+MULTIPLIER, BASE, ALLOWED, MOST_MATCH = 0.8, 1.75, 2, 64
+
+
+def repetition_penalties(tokens: list[int], breakers: set[int], allowed: int = ALLOWED) -> dict[int, tuple[int, float]]:
+    """Token to (match length, penalty): each token that followed an earlier copy of the sequence's end, at least
+    ``allowed`` tokens long. A breaker ends every match and is never penalised; of several copies the longest counts."""
+    x = np.asarray(tokens, dtype=np.int64)
+    if len(x) < 2:
+        return {}
+    stops = np.flatnonzero(np.isin(x, list(breakers)))
+    reach = min(MOST_MATCH, len(x) - 1 - int(stops[-1]) if len(stops) else MOST_MATCH)
+    lengths = np.minimum(end_matches(x, len(x))[1:], reach)  # by distance 1, 2, ...
+    after = x[::-1][: len(lengths)]  # the token behind the copy at that distance
+    best: dict[int, int] = {}
+    for at in np.flatnonzero((lengths >= max(1, allowed)) & ~np.isin(after, list(breakers))).tolist():
+        best[int(after[at])] = max(best.get(int(after[at]), 0), int(lengths[at]))
+    return {v: (n, MULTIPLIER * BASE ** (n - allowed)) for v, n in best.items()}
+
+
+_PENALTY = T.ArrayType(T.StructType([T.StructField("token", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("penalty", T.DoubleType())]))
+
+
+def penalised(breakers: list[int]) -> Callable[[Column], Column]:
+    """ids -> the penalties of the tokens that may come next, ascending by token; null stays null."""
+    marks = set(breakers)
 
+    @F.pandas_udf(_PENALTY)
+    def penalties(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda t: [{"token": v, "length": n, "penalty": p} for v, (n, p) in sorted(repetition_penalties(list(t), marks).items())], na_action="ignore")
 
-def dry_penalty(length: int, multiplier: float = 0.8, base: float = 1.75, allowed: int = 2) -> float:
-    return multiplier * base ** (length - allowed) if length >= allowed else 0.0
+    return penalties
 
 
 def repeated_coverage(frame: DataFrame, words: Column, n: int, out: str = "covered") -> DataFrame:
