@@ -1,4 +1,4 @@
-"""Table access and the fixed facts about the corpus categories."""
+"""Table access."""
 
 from __future__ import annotations
 
@@ -8,14 +8,3 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-#: A category's columns and the expression of its split unit.
-CATEGORIES = {
-    "repository file": {"columns": ["id", "repo_name", "relative_path", "content", "language"], "group": "lower(repo_name)", "code": True},
-    "exercise": {"columns": ["id", "content", "language"], "group": "id", "code": False},
-    "synthetic file": {"columns": ["id", "content", "language"], "group": "id", "code": True},
-    "function": {"columns": ["id", "repo_name", "content", "language"], "group": "lower(repo_name)", "code": True},
-    "conversation": {"columns": ["id", "problem_id", "content"], "group": "problem_id", "code": False},
-    "notebook": {"columns": ["id", "content", "language"], "group": "id", "code": False},
-    "text": {"columns": ["id", "content"], "group": "id", "code": False},
-}

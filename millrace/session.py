@@ -30,11 +30,14 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; make a local one only where none is set (tests)."""
+    """Use the shared folder named by ``spark.checkpoint.dir``. Where none is set a local one is made in local mode (tests);
+    on a cluster that is an error, as a machine's own folder is lost with it."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 

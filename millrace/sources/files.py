@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import gzip
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from millrace.session import ensure_checkpoint_dir
 
@@ -23,7 +23,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def write_columns(frame: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> str:
     """Parquet with zstd; with ``by``, one folder a value, each value's rows brought together first and sorted by ``order``.
-    The committer writes the success mark last, so readers see all or nothing."""
+    The path must be new, or its old files go first: ``replace`` is for tables that are read meanwhile."""
     if by:
         frame = frame.repartition(*by).sortWithinPartitions(*by, *(order or []))
     writer = frame.write.mode("overwrite").option("compression", "zstd")
@@ -31,6 +31,59 @@ def write_columns(frame: DataFrame, path: str, by: list[str] | None = None, orde
     return path
 
 
+class Replaced:
+    """A table that is replaced as a whole: every version is written to a folder of its own, and the name of the newest
+    stands in one small file, exchanged by a rename. A reader sees the old version or the new one, never a part; old
+    versions stay until ``drop_old``, so who reads one still can."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def replace(self, frame: DataFrame) -> None:
+        version = f"version-{uuid.uuid4().hex}"
+        write_columns(frame, f"{self.path}/{version}")
+        numbers = self._pointers()
+        aside = self._path(f"{self.path}/.{version}")
+        out = self._files.create(aside, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        # a new pointer's number is higher than any; of two writers one fails to rename and tries the next
+        number = max(numbers, default=0) + 1
+        while not self._files.rename(aside, self._path(f"{self.path}/current-{number:012d}")):
+            number += 1
+
+    def _pointers(self) -> list[int]:
+        if not self._files.exists(self._path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.path))]
+        return sorted(int(n[8:]) for n in names if n.startswith("current-"))
+
+    def current(self) -> str:
+        """The folder of the newest version."""
+        numbers = self._pointers()
+        if not numbers:
+            raise FileNotFoundError(self.path)
+        stream = self._files.open(self._path(f"{self.path}/current-{numbers[-1]:012d}"))
+        try:
+            return f"{self.path}/{bytes(stream.readAllBytes()).decode()}"
+        finally:
+            stream.close()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.current())
+
+    def drop_old(self) -> None:
+        """Remove all versions but the newest, and their pointers."""
+        newest, numbers = self.current().rsplit("/", 1)[-1], self._pointers()
+        for number in numbers[:-1]:
+            self._files.delete(self._path(f"{self.path}/current-{number:012d}"), False)
+        for f in self._files.listStatus(self._path(self.path)):
+            if f.getPath().getName().startswith("version-") and f.getPath().getName() != newest:
+                self._files.delete(f.getPath(), True)
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
     """(path, length) of the files below a folder whose name fits the pattern, in path order; no file is opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
@@ -39,14 +92,17 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> Dat
 
 def footers(spark: SparkSession, folder: str, column: str) -> DataFrame:
     """(path, rows, text_bytes) of Parquet files from their footers: bytes are the column's uncompressed size less the
-    four bytes a value its lengths take. Local and mounted paths only."""
+    four bytes a value its lengths take. Any file system that Arrow knows by its address (local, HDFS, S3, GCS)."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for frame in batches:
             rows = []
             for path in frame["path"]:
-                meta = pq.read_metadata(path.removeprefix("file://").removeprefix("file:"))
+                place = path.removeprefix("file:")
+                store, place = (pafs.LocalFileSystem(), "/" + place.lstrip("/")) if place != path or "://" not in path else pafs.FileSystem.from_uri(path)
+                meta = pq.read_metadata(place, filesystem=store)
                 names = [meta.schema.column(i).path for i in range(meta.num_columns)]
                 at = names.index(column) if column in names else None
                 size = sum(meta.row_group(g).column(at).total_uncompressed_size for g in range(meta.num_row_groups)) if at is not None else 0
@@ -69,23 +125,22 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-_BLOB = T.StringType()
-
-
-@F.pandas_udf(_BLOB)
-def blob_text(blobs: pd.Series) -> pd.Series:
-    """The text of a gzip blob in UTF-8; null where it is no gzip or no UTF-8."""
-    def one(data):
+@F.pandas_udf(T.StringType())
+def blob_text(blobs: pd.Series, charsets: pd.Series) -> pd.Series:
+    """The text of a gzip blob in its charset (UTF-8 where that is null); null where it is no gzip, the charset is unknown or
+    the bytes are not of it."""
+    def one(data, charset):
         try:
-            return gzip.decompress(data).decode("utf-8")
-        except (OSError, EOFError, UnicodeDecodeError, TypeError, ValueError):
+            return gzip.decompress(data).decode(charset or "utf-8")
+        except (OSError, EOFError, UnicodeDecodeError, LookupError, TypeError, ValueError, zlib.error):
             return None
-    return blobs.map(one, na_action="ignore")
+    return pd.Series([one(b, c) if b is not None else None for b, c in zip(blobs, charsets)], dtype="object")
 
 
 @F.pandas_udf(T.BinaryType())
-def text_blob(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: gzip.compress(s.encode(), 1), na_action="ignore")
+def text_blob(texts: pd.Series, charsets: pd.Series) -> pd.Series:
+    """A text as a gzip blob in a charset (UTF-8 where null); characters that it lacks become question marks."""
+    return pd.Series([gzip.compress(t.encode(c or "utf-8", "replace"), 1) if t is not None else None for t, c in zip(texts, charsets)], dtype="object")
 
 
 def tokenizer_lines(vocabulary: DataFrame) -> DataFrame:
@@ -113,14 +168,3 @@ class KeyValue:
         stored = keys.sparkSession.read.schema("key string, value string, batch int").parquet(self.path)
         latest = stored.groupBy("key").agg(F.max_by("value", F.struct("batch", "value")).alias("value"))
         return keys.select("key").join(latest, "key", "left")
-
-
-def size_batches(files: DataFrame, order: str, size: str, least: int) -> DataFrame:
-    """files plus ``batch``: runs in order whose sizes pass multiples of ``least``. One row a file, so one window."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("batch", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / F.lit(least)))
-
-
-def by_number(files: DataFrame, path: str) -> DataFrame:
-    """files with the number at the end of their names, in its order."""
-    return files.withColumn("number", F.regexp_extract(path, r"(\d+)(?:\.[a-z]+)*$", 1).cast("int")).orderBy("number", path)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.sequences import find_cycle
+from millrace.operators.sequences import CYCLE_TAIL, MOST_PERIOD, find_cycle
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -33,6 +35,77 @@ def exchange(spark: SparkSession, folder: str, schema: str, done: str | None = N
     return reader.parquet(folder)
 
 
+def numbered(path: str, name: str) -> int | None:
+    """The number k of a file named ``name-k``; null for another name."""
+    found = re.fullmatch(rf"{re.escape(name)}-(\d+)(?:\..*)?", path.rstrip("/").rsplit("/", 1)[-1])
+    return int(found.group(1)) if found else None
+
+
+class Exchange:
+    """A folder in which batches ``batch-k`` are left in any order and taken in the order of k, each once, until the number
+    that the file ``final`` holds. A batch is a folder of columns, written aside and renamed when it is whole, so none is
+    seen half. What was taken is kept in ``state``, a folder of its own: a second reader goes on behind it."""
+
+    def __init__(self, spark: SparkSession, folder: str, state: str):
+        self.spark, self.folder, self.state = spark, folder, state
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+
+    def put(self, rows: DataFrame, k: int) -> None:
+        files, path = self._files()
+        aside = f"{self.folder}/.aside-{k}-{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        if not files.rename(path(aside), path(f"{self.folder}/batch-{k}")):
+            raise FileExistsError(f"batch {k} is there already")
+
+    def close(self, k: int) -> None:
+        """Batch k is the last one."""
+        files, path = self._files()
+        out = files.create(path(f"{self.folder}/final"), True)
+        out.write(bytearray(str(k).encode()))
+        out.close()
+
+    def last(self) -> int | None:
+        files, path = self._files()
+        at = path(f"{self.folder}/final")
+        return int(self.spark.sparkContext.wholeTextFiles(at.toString()).values().first()) if files.exists(at) else None
+
+    def _taken(self) -> int:
+        files, path = self._files()
+        if not files.exists(path(self.state)):
+            return -1
+        return max([k for f in files.listStatus(path(self.state)) if (k := numbered(f.getPath().toString(), "taken")) is not None], default=-1)
+
+    def take(self, each) -> bool:
+        """Give every batch that is next in order to ``each(rows, k)``; True once the last one was given. A batch is marked as
+        taken after ``each`` returns: what fails is given again, so ``each`` must bear a repeat."""
+        files, path = self._files()
+        k = self._taken() + 1
+        while files.exists(path(f"{self.folder}/batch-{k}")):
+            each(self.spark.read.parquet(f"{self.folder}/batch-{k}"), k)
+            files.mkdirs(path(f"{self.state}/taken-{k}"))
+            k += 1
+        last = self.last()
+        return last is not None and k > last
+
+
+def until_end(log: DataFrame, checkpoint: str, each, kind: str = "kind", end: str = "end") -> bool:
+    """Give what a run log holds, batch by batch, to ``each(rows, batch)`` and tell whether its ``end`` record was among it:
+    a watcher calls this until it is. Records after the end are not given on."""
+    ended: list[bool] = []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if not ended:
+            each(rows, number)
+        if not rows.where(F.col(kind) == end).isEmpty():
+            ended.append(True)
+
+    run_to_end(log, checkpoint, each=batch)
+    return bool(ended)
+
+
 def hourly(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Events by hour and kind; rows later than ``late`` behind the newest are left out, as a watermark must."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
@@ -43,28 +116,30 @@ def unseen(rows: DataFrame, sink: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(sink.select(*key).distinct(), key, "left_anti")
 
 
-LOOP_STATE = "tail array<int>, stopped boolean"
+LOOP_STATE = "held array<int>, seen long, stopped boolean"
 
 
-def loop_watch(tail: int = 48, most: int = 16):
-    """(function, output schema, state schema) for applyInPandasWithState by request: a row (request, at) when a request's
-    last ``tail`` tokens first repeat with a period up to ``most``. State is the token tail and a flag, bounded."""
+def loop_watch(tail: int = CYCLE_TAIL, most: int = MOST_PERIOD, check: int = 128):
+    """(function, output schema, state schema) for applyInPandasWithState by request: a row (request, at, period) when at one of
+    the checks, every ``check`` tokens, a request's last ``tail`` tokens are found to repeat with a period up to ``most``.
+    State is what a check can look at and a flag: it stays bounded."""
     def watch(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, stopped = state.get if state.exists else ([], False)
+        held, seen, stopped = state.get if state.exists else ([], 0, False)
         held, found = list(held), None
         for frame in frames:
             frame = frame.sort_values("position")
-            for position, token in zip(frame["position"], frame["token"]):
-                if stopped:
-                    break
-                held = [*held, int(token)][-tail:]
-                if len(held) == tail and find_cycle(held, tail, most)[0]:
-                    stopped, found = True, int(position)
-        state.update((held, stopped))
+            tokens, positions = frame["token"].tolist(), frame["position"].tolist()
+            while tokens and not stopped:
+                n = check - seen % check
+                held, seen = (held + tokens[:n])[-(tail + most) :], seen + len(tokens[:n])
+                if seen % check == 0 and (period := find_cycle(held, tail, most)[0]):
+                    stopped, found = True, (positions[n - 1], period)
+                tokens, positions = tokens[n:], positions[n:]
+        state.update(([] if stopped else [int(t) for t in held], seen, stopped))
         if found is not None:
-            yield pd.DataFrame({"request": [key[0]], "at": [found]})
+            yield pd.DataFrame({"request": [key[0]], "at": [found[0]], "period": [found[1]]})
 
-    return watch, "request long, at long", LOOP_STATE
+    return watch, "request long, at long, period int", LOOP_STATE
 
 
 def stop_search(stops: list[str]):
