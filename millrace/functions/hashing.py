@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.LongType())
+def blake64(texts: pd.Series) -> pd.Series:
+    """BLAKE2b of 8 bytes over the UTF-8 bytes, read little end first as a signed number."""
+    return texts.map(lambda s: int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "little", signed=True), na_action="ignore").astype("Int64")
 
 
 def residue(group: Column, parts: int = 100) -> Column:

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.ranking import grouped_rank
+from millrace.operators.ranking import carried, grouped_rank
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """left plus the ``value`` of the last right row of the same ``by`` at or before ``at``; null without one.
 
-    One sort a key, no range join: both sides are stacked, and the last non-null value is carried on. Of right rows at
-    one instant the greatest value counts.
+    No range join: both sides are stacked, and the last non-null value is carried on over range partitions, so a key may
+    hold any share of the rows. Of right rows at one instant the greatest value counts; null values are not carried.
     """
-    stacked = right.groupBy(by, at).agg(F.max(value).alias("_value")).withColumn("_left", F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType)).unionByName(left.select(by, at, F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct("*").alias("_left")))
-    carried = F.last("_value", ignorenulls=True).over(Window.partitionBy(by).orderBy(at, F.col("_left").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
-    return stacked.withColumn("_found", carried).where("_left is not null").select("_left.*", F.col("_found").alias(value))
+    whole = left.select(F.struct("*").alias("_left")).schema["_left"].dataType
+    steps = right.groupBy(by, at).agg(F.max(value).alias("_value")).select(by, at, F.lit(0).alias("_side"), "_value", F.lit(None).cast(whole).alias("_left"))
+    asked = left.select(by, at, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.struct("*").alias("_left"))
+    found = carried(steps.unionByName(asked), [by], [at, "_side"], "_value", "_found", previous=False)
+    return found.where("_left is not null").select("_left.*", F.col("_found").alias(value))
 
 
 def in_interval(points: DataFrame, point: str, intervals: DataFrame, low: str, high: str, width: float) -> DataFrame:

@@ -90,6 +90,56 @@ def grouped_rank(frame: DataFrame, by: list[str], order: list[str], rank: str =
     return out.drop("_r_part", "_r_before", "_r_total", "_r_row", "_r_n", "_r_sum", "_r_first", "_r_w")
 
 
+def carried(frame: DataFrame, by: list[str], order: list[str], value: str, name: str, previous: bool = True, parts: int | None = None) -> DataFrame:
+    """frame plus ``name``: the ``value`` of the row before in the group's order, or, with ``previous`` false, the last value
+    up to the row that is not null; null where there is none.
+
+    Like ``grouped_rank``: a group may lie in many partitions. What a partition cannot know, because its first group began
+    before it, comes from the ends of the partitions before. Column names starting with ``_r_`` are taken.
+    """
+    spark, keys = frame.sparkSession, [*by, *order]
+    ranged = frame.withColumn("_r_v", F.col(value))
+    ranged = ranged.repartitionByRange(parts, *keys) if parts else ranged.repartitionByRange(*keys)
+    ranged = cut(ranged.sortWithinPartitions(*keys).withColumn("_r_part", F.spark_partition_id()))
+    names, kind = ranged.columns, ranged.schema["_r_v"].dataType
+    at, values = [names.index(c) for c in by], names.index("_r_v")
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_r_row", T.LongType()), T.StructField("_r_out", kind), T.StructField("_r_open", T.BooleanType()), T.StructField("_r_end", kind), T.StructField("_r_end_open", T.BooleanType())])
+
+    def pass_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, unknown, row = None, None, True, 0  # the key before, what it passes on, whether that is not known here
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new, place, column = _changes([batch.column(i) for i in at], n, last), np.arange(n), batch.column(values)
+            begin = np.maximum.accumulate(np.where(new, place, -1))
+            source = place if previous else np.maximum.accumulate(np.where(column.is_valid().to_numpy(zero_copy_only=False), place, -1))
+            ends = np.where(source >= np.maximum(begin, 0), source, np.where(begin >= 0, -2, -1))  # -1: from before, -2: nothing
+            got = np.concatenate([[-1], ends[:-1]]) if previous else ends
+            got = np.where(previous & new, -2, got)
+            pool = pa.concat_arrays([pa.array([held], column.type), column])
+            out = pool.take(pa.array(np.where(got == -2, 0, got + 1), mask=got == -2))
+            end = pool.take(pa.array(np.where(ends == -2, 0, ends + 1), mask=ends == -2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row + place, pa.int64()), out, pa.array((got == -1) & unknown), end, pa.array((ends == -1) & unknown)], [f.name for f in schema.fields])
+            unknown = bool(unknown and ends[-1] == -1)
+            last, held, row = [batch.column(i)[n - 1].as_py() for i in at], end[n - 1].as_py(), row + n
+
+    done = ranged.mapInArrow(pass_on, schema)
+    key = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
+    # one row a partition
+    rows = sorted(done.groupBy("_r_part").agg(F.max_by(F.struct(*key, "_r_end", "_r_end_open"), "_r_row").alias("end"), F.min_by(F.struct(*key, F.lit(0).alias("k")), "_r_row").alias("head")).collect(), key=lambda r: r["_r_part"])
+    found, before, now = [], None, None
+    for r in rows:
+        if before != [r.head[f"k{i}"] for i in range(len(by))]:
+            now = None
+        found.append((r["_r_part"], now))
+        now = now if r.end["_r_end_open"] else r.end["_r_end"]
+        before = [r.end[f"k{i}"] for i in range(len(by))]
+    table = spark.createDataFrame(found, T.StructType([T.StructField("_r_part", T.IntegerType()), T.StructField("_r_in", kind)]))
+    out = done.join(F.broadcast(table), "_r_part").withColumn(name, F.when(F.col("_r_open"), F.col("_r_in")).otherwise(F.col("_r_out")))
+    return out.drop("_r_part", "_r_v", "_r_row", "_r_out", "_r_open", "_r_end", "_r_end_open", "_r_in")
+
+
 def global_rank(frame: DataFrame, order: list[str], parts: int | None = None, rank: str = "rank", weight: str | None = None, running: str = "running") -> DataFrame:
     """``grouped_rank`` over the whole table."""
     return grouped_rank(frame, [], order, rank, weight, running, parts)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions import programs as G
 from millrace.functions import text as X
+from millrace.functions.hashing import blake64
 from millrace.operators import sequences as Q
 from millrace.operators import traces as E
+from millrace.operators.ranking import global_rank
 from millrace.plans.curate import LF, SPACE, grams_sql, words_sql
 from millrace.plans.registry import query
 from millrace.session import spread
@@ -159,6 +160,12 @@ def _(t):
     return t("documents").where("text is not null").select("source", F.xxhash64("text").alias("digest")).groupBy("source").agg(F.count_distinct("digest").alias("texts"))
 
 
+@query("p17_stored_digests")
+def _(t):
+    """The 64-bit digests as they are stored elsewhere: BLAKE2b of 8 bytes, little end first."""
+    return spread(t("documents").where("text is not null").select("doc_id", "text")).select("doc_id", blake64("text").alias("digest"))
+
+
 @query("p18_usable_rows", "select trace_id, regexp_replace(problem_id, '/[A-F]$', '') as question from raw_traces where finish_reason = 'stop' and generation is not null and length(prompt) > 100")
 def _(t):
     return t("raw_traces").where("finish_reason = 'stop' and generation is not null and length(prompt) > 100").select("trace_id", F.regexp_replace("problem_id", "/[A-F]$", "").alias("question"))
@@ -228,11 +235,19 @@ def _(t):
     return t("completions").select("completion_id", (F.col("finish_reason").isNotNull() & F.coalesce(F.col("finish_reason") != "length", F.lit(False)) & F.col("text").isNotNull()).alias("storable"))
 
 
-@query("p26_infilling_prompt", "select vec_id, array_to_string([-1] || list_transform(range(0, 3), lambda i: (embedding[i + 1] * 1000)::bigint) || [-2] || list_transform(range(5, 7), lambda i: (embedding[i + 1] * 1000)::bigint) || [-3], ',') as ids from embeddings")
+_WORDS = words_sql("text")
+_SPLIT = f"(select completion_id, w, (len(w) * 2) // 5 as a, (len(w) * 3) // 5 as b, completion_id % 2 as mode from (select completion_id, {_WORDS} as w from completions where text is not null))"
+
+
+@query("p26_infilling_prompt", f"select completion_id, sha1(array_to_string(case when mode = 0 then ['<PRE>'] || w[:a] || ['<SUF>'] || w[b + 1:] || ['<MID>'] else ['<PRE>', '<SUF>'] || w[b + 1:] || ['<MID>'] || w[:a] end, ' ')) as prompt, len(w) - (b - a) + 3 as n from {_SPLIT}")
 def _(t):
-    tokens = F.transform("embedding", lambda x: F.rint(x.cast("float") * F.lit(1000).cast("float")).cast("long"))
-    ids = F.concat(F.array(F.lit(-1).cast("long")), F.slice(tokens, 1, 3), F.array(F.lit(-2).cast("long")), F.slice(tokens, 6, 2), F.array(F.lit(-3).cast("long")))
-    return t("embeddings").select("vec_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    """Prompts for the middle of a text, in words: prefix, suffix and the mark of the middle, in either order."""
+    w = F.col("w")
+    rows = t("completions").where("text is not null").select("completion_id", X.words(F.col("text")).alias("w")).withColumns({"a": F.floor(F.size(w) * 2 / 5).cast("int"), "b": F.floor(F.size(w) * 3 / 5).cast("int")})
+    pre, suf, mid = (F.array(F.lit(m)) for m in ("<PRE>", "<SUF>", "<MID>"))
+    prefix, suffix = F.slice(w, 1, F.col("a")), F.slice(w, F.col("b") + 1, F.size(w))
+    prompt = F.when(F.col("completion_id") % 2 == 0, F.concat(pre, prefix, suf, suffix, mid)).otherwise(F.concat(pre, suf, suffix, mid, prefix))
+    return rows.select("completion_id", F.sha1(F.array_join(prompt, " ")).alias("prompt"), F.size(prompt).cast("long").alias("n"))
 
 
 @query("p27_overlong_penalty", "select doc_id, round(greatest(-1.0, least(0.0, (4000.0 - 1000.0 - n_chars) / 1000.0)), 6)::double as penalty from documents")
@@ -257,10 +272,12 @@ def _(t):
     return t("documents").where("text is not null").select("doc_id", (~F.exists(chars, lambda x: F.contains(x, F.lit("\r")))).alias("clean"))
 
 
-@query("p31_chat_template", f"select problem_id, sha1(regexp_replace(regexp_replace(string_agg(prompt, chr(10) || chr(10) order by trace_id), '^{SPACE}+', ''), '{SPACE}+$', '') || '<think>') as rendered from raw_traces where prompt is not null group by 1")
+@query("p31_chat_template", f"select trace_id, sha1(regexp_replace(regexp_replace(prompt || chr(10) || chr(10) || coalesce(generation, ''), '^{SPACE}+', ''), '{SPACE}+$', '') || '<think>') as rendered from raw_traces where prompt is not null")
 def _(t):
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trace_id", "prompt"))), lambda s: s["prompt"]), "\n\n")
-    return t("raw_traces").where("prompt is not null").groupBy("problem_id").agg(joined.alias("all")).select("problem_id", F.sha1(F.concat(X.strip(F.col("all")), F.lit(X.THINK))).alias("rendered"))
+    """The messages of a row joined by an empty line, nothing around them, and the mark that opens the answer."""
+    messages = F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in (("user", F.col("prompt")), ("assistant", F.coalesce("generation", F.lit(""))))])
+    joined = F.array_join(F.transform(messages, lambda m: m["content"]), "\n\n")
+    return t("raw_traces").where("prompt is not null").select("trace_id", F.sha1(F.concat(X.strip(joined), F.lit(X.THINK))).alias("rendered"))
 
 
 @query("p32_three_parts", f"select trace_id, sha1(prompt || '<think>') as context, sha1({_REASON}) as reasoning, sha1('</think>' || ({_ANSWER})) as answer from raw_traces where generation is not null and prompt is not null")
@@ -300,13 +317,36 @@ def _(t):
     return rows.select("completion_id", F.sha1(F.concat(F.replace(F.concat("prompt", F.lit("\n"), "body"), F.lit("\t"), F.lit("    ")), closed)).alias("program"))
 
 
-@query("p38_sample_spec", "select split_part(s, ':', 1)::double as temperature, split_part(s, ':', 2)::int as samples from (select unnest(string_split('0.6:4,1.0:8,0.2:1', ',')) as s)")
+_SPEC = "(select i - 1 as k, split_part(s, ':', 1)::double as temperature, split_part(s, ':', 2)::int as samples, coalesce(sum(split_part(s, ':', 2)::int) over (order by i rows between unbounded preceding and 1 preceding), 0) as before from (select unnest(string_split('0.6:4,1.0:8,0.2:1', ',')) as s, unnest(range(1, 4)) as i))"
+
+
+@query("p38_sample_spec", f"select item_id, temperature, sample, 1000 + row_number() over (order by item_id, k, sample) - 1 as seed from benchmark, (select k, temperature, unnest(range(0, samples)) as sample from {_SPEC})")
 def _(t):
-    spec = t.spark.range(1).select(F.explode(F.split(F.lit("0.6:4,1.0:8,0.2:1"), ",")).alias("s"))
-    return spec.select(F.split_part("s", F.lit(":"), F.lit(1)).cast("double").alias("temperature"), F.split_part("s", F.lit(":"), F.lit(2)).cast("int").alias("samples"))
+    """The requests that a sampling rule asks for: for every item the samples of each temperature, with seeds that follow
+    the request's number."""
+    pairs = F.transform(F.split(F.lit("0.6:4,1.0:8,0.2:1"), ","), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(1)).cast("double").alias("temperature"), F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("samples")))
+    rules = t("benchmark").select("item_id", F.posexplode(pairs).alias("k", "p"))
+    asked = rules.select("item_id", "k", "p.temperature", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p.samples").cast("long") - 1)).alias("sample"))
+    return global_rank(asked, ["item_id", "k", "sample"]).select("item_id", "temperature", "sample", (F.lit(999) + F.col("rank")).alias("seed"))
+
+
+@query("p38_context_ids")
+def _(t):
+    """What a prompt is to a model: the start mark (-1) and the tokens of the prompt with the mark that opens reasoning."""
+    encode = Q.encoder(t.spark, Q.vocabulary(t("tokenizer_vocab")))
+    ids = F.concat(F.array(F.lit(-1)), encode(F.concat("text", F.lit(X.THINK))))
+    return spread(t("benchmark").where("text is not null").select("item_id", "text")).select("item_id", F.size(ids).alias("n"), F.sha1(F.array_join(ids.cast("array<string>"), ",")).alias("digest"))
+
+
+_PLAN = "(select stage, floor(stage_tokens / (seq_len * 4.0))::bigint as steps, floor(stage_tokens / (seq_len * 4.0) * 0.1)::bigint as warm, floor(stage_tokens / (seq_len * 4.0) * 0.4)::bigint as down from (select stage, max(stage_tokens) as stage_tokens, max(seq_len) as seq_len from mixture_groups group by 1))"
 
 
-@query("p39_plan_laws", "select o_orderkey, round(case when o_orderkey < 100 then (o_orderkey + 1) / 100.0 when o_orderkey < 1000 then 1.0 else greatest(0.0, 1 - (o_orderkey - 1000) / 500.0) end, 6)::double as multiplier from orders")
+@query("p39_plan_laws", f"select stage, step, round(least(case when warm > 0 then (step + 1) / warm::double else 1.0 end, 1.0, case when down > 0 then (steps - step) / down::double else 1.0 end), 6)::double as multiplier from (select *, unnest(range(0, steps)) as step from {_PLAN})")
 def _(t):
-    k = F.col("o_orderkey")
-    return t("orders").select("o_orderkey", F.round(F.when(k < 100, (k + 1) / 100.0).when(k < 1000, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - (k - 1000) / 500.0)), 6).alias("multiplier"))
+    """The steps of each stage's run from its tokens, and each step's rate: rising over the first tenth, level, falling over
+    the last four."""
+    batch = F.max("stage_tokens") / (F.max("seq_len") * 4.0)
+    plan = t("mixture_groups").groupBy("stage").agg(F.floor(batch).alias("steps"), F.floor(batch * 0.1).alias("warm"), F.floor(batch * 0.4).alias("down"))
+    steps = plan.where("steps > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("step"))
+    rate = F.least(F.when(F.col("warm") > 0, (F.col("step") + 1) / F.col("warm")).otherwise(1.0), F.lit(1.0), F.when(F.col("down") > 0, (F.col("steps") - F.col("step")) / F.col("down")).otherwise(1.0))
+    return steps.select("stage", "step", F.round(rate, 6).alias("multiplier"))

@@ -14,8 +14,9 @@ from millrace.functions.names import repository_key
 from millrace.operators import curation as C
 from millrace.operators import graphs
 from millrace.operators import sampling as S
-from millrace.operators.ranking import global_rank, grouped_rank
+from millrace.operators.ranking import carried, global_rank, grouped_rank
 from millrace.plans.registry import query
+from millrace.session import cut, spread
 
 LF = "replace(replace(regexp_replace({0}, '^\\x{{FEFF}}+', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 SPACE = "[\\t\\n\\v\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -94,21 +95,18 @@ def _(t):
     return t("repository_files").where("content is not null").select("file_id", F.sha1(X.path_comment(F.col("relative_path"), F.col("content"), F.col("lang"))).alias("digest"))
 
 
-_FOLDER = "regexp_replace(coalesce(relative_path, ''), '[^/]*$', '')"
+def number_of(text):
+    """52 bits of a digest as a number: sums of them are digests of sets."""
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(13)), 16, 10).cast("decimal(38,0)")
 
 
-def foldered(t):
-    """Files with their folder: the unit whose texts are joined, as a whole repository may hold any share of the rows."""
-    path = F.coalesce("relative_path", F.lit(""))
-    return t("repository_files").where("repo_name is not null").withColumns({"path": path, "folder": F.regexp_replace(path, "[^/]*$", "")})
-
-
-@query("p11_documents_from_samples", f"select lower(repo_name) as repo, lang, {_FOLDER} as folder, count(*) as files, sha1(string_agg(content, '' order by coalesce(relative_path, ''), file_id)) as digest from repository_files where repo_name is not null and content is not null group by 1, 2, 3")
+@query("p11_documents_from_samples", "select lower(repo_name) as repo, lang, count(*) as files, sum(('0x' || md5(coalesce(relative_path, '') || chr(1) || sha1(content) || chr(1) || file_id)[:13])::hugeint)::varchar as digest from repository_files where repo_name is not null and content is not null group by 1, 2")
 def _(t):
-    """One document a repository, language and folder, its files in path order."""
-    files = foldered(t).where("content is not null").withColumn("repo", F.lower("repo_name"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "file_id", "content"))), lambda s: s["content"])
-    return files.groupBy("repo", "lang", "folder").agg(F.count("*").alias("files"), F.sha1(F.array_join(parts, "")).alias("digest"))
+    """One document a repository and language, as its number of files and a digest of their places and contents: sums of
+    the files' digests, so that no task holds a repository. The documents themselves are p11_sample_documents."""
+    files = t("repository_files").where("repo_name is not null and content is not null")
+    place = F.concat(F.coalesce("relative_path", F.lit("")), F.lit("\x01"), F.sha1("content"), F.lit("\x01"), F.col("file_id").cast("string"))
+    return files.groupBy(F.lower("repo_name").alias("repo"), "lang").agg(F.count("*").alias("files"), F.sum(number_of(place)).cast("string").alias("digest"))
 
 
 @query("p11_sample_documents")
@@ -186,11 +184,17 @@ def _(t):
 
 
 def curated(t, val):
-    rows, bad = dropped(t)
-    langs = t("documents").select("doc_id", "lang", "group_key")
-    fate = F.when(F.col("bad"), "duplicate").when(val, "val").when(F.col("items").isNotNull(), "contaminated").otherwise("kept")
-    marked = rows.join(bad.withColumn("bad", F.lit(True)), ["keep_order", "doc_id"], "left").join(langs, "doc_id").join(overlapping(t), "doc_id", "left").withColumn("fate", fate)
-    return marked.groupBy(F.coalesce("lang", F.lit("none")).alias("lang")).agg(*[F.count_if(F.col("fate") == f).alias(f) for f in ("kept", "duplicate", "contaminated", "val")])
+    """The narrow rows are made once; the first of each text is a minimum that is combined before the shuffle, what it leaves
+    are the duplicates, and only firsts meet the overlaps."""
+    text = X.normalize_lines(F.col("text"))
+    order = F.broadcast(t("source_catalog").select("source", "keep_order"))
+    rows = cut(spread(t("documents").where("text is not null").select("doc_id", "lang", "source", "group_key", "text")).select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "source", "group_key", X.content_id(text).alias("id")).join(order, "source").drop("source"))
+    first = C.keep_first(rows, ["id"], ["keep_order", "doc_id"]).where(F.col("id") != F.sha1(F.lit("")))
+    fate = F.when(val, "val").when(F.col("items").isNotNull(), "contaminated").otherwise("kept")
+    fates = first.join(overlapping(t), "doc_id", "left").groupBy("lang", fate.alias("fate")).agg(F.count("*").alias("n"))
+    # of each language: all rows less the firsts are the duplicates
+    every = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.lit("duplicate").alias("fate"), "n").unionByName(fates.select("lang", F.lit("duplicate").alias("fate"), (-F.col("n")).alias("n")))
+    return fates.unionByName(every).groupBy("lang").agg(*[F.coalesce(F.sum(F.when(F.col("fate") == f, F.col("n"))), F.lit(0)).alias(f) for f in ("kept", "duplicate", "contaminated", "val")])
 
 
 @query("w02_ntile_shards", "select doc_id, ntile(100) over (order by doc_id) - 1 as shard from documents")
@@ -211,9 +215,9 @@ def _(t):
 
 @query("w05_run_boundaries", "select user_id, event_id, sum(flag) over (partition by user_id order by ts, event_id)::bigint as run from (select *, case when event_type is distinct from lag(event_type) over (partition by user_id order by ts, event_id) then 1 else 0 end as flag from events)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    flag = F.when(~F.col("event_type").eqNullSafe(F.lag("event_type").over(w)), 1).otherwise(0)
-    return t("events").withColumn("flag", flag).select("user_id", "event_id", F.sum("flag").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    before = carried(t("events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type", "before")
+    flagged = before.withColumn("flag", F.when(~F.col("event_type").eqNullSafe(F.col("before")), 1).otherwise(0))
+    return grouped_rank(flagged, ["user_id"], ["ts", "event_id"], weight="flag", running="run").select("user_id", "event_id", "run")
 
 
 @query("w06_systematic_sampling", "select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders) where floor((i + 1) * 0.37::double) > floor(i * 0.37::double)")
@@ -346,11 +350,12 @@ def _(t):
     return rows.groupBy("source").pivot("split", ["train", "val"]).count().na.fill(0)
 
 
-@query("s29_source_digest", f"select repo_name, {_FOLDER} as folder, sha256(string_agg(coalesce(relative_path, '') || chr(1) || coalesce(content, '') || chr(1), '' order by coalesce(relative_path, ''), file_id)) as digest from repository_files where repo_name is not null group by 1, 2")
+@query("s29_source_digest", "select repo_name, sum(('0x' || md5(coalesce(relative_path, '') || chr(1) || sha256(coalesce(content, '')) || chr(1) || file_id)[:13])::hugeint)::varchar as digest from repository_files where repo_name is not null group by 1")
 def _(t):
-    part = F.concat("path", F.lit("\x01"), F.coalesce("content", F.lit("")), F.lit("\x01")).alias("part")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "file_id", part))), lambda s: s["part"])
-    return foldered(t).groupBy("repo_name", "folder").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"))
+    """A digest of each repository's tree that is added up from its files, whatever its size; in path order it is
+    s29_tree_digest."""
+    place = F.concat(F.coalesce("relative_path", F.lit("")), F.lit("\x01"), F.sha2(F.coalesce("content", F.lit("")), 256), F.lit("\x01"), F.col("file_id").cast("string"))
+    return t("repository_files").where("repo_name is not null").groupBy("repo_name").agg(F.sum(number_of(place)).cast("string").alias("digest"))
 
 
 @query("s29_tree_digest")
@@ -371,7 +376,7 @@ def _(t):
         if state is not None:
             yield pd.DataFrame([(name, state.hexdigest())], columns=["repo_name", "digest"])
 
-    parts = foldered(t).select("repo_name", "path", "file_id", F.coalesce("content", F.lit("")).alias("content"))
+    parts = t("repository_files").where("repo_name is not null").select("repo_name", F.coalesce("relative_path", F.lit("")).alias("path"), "file_id", F.coalesce("content", F.lit("")).alias("content"))
     return parts.repartition("repo_name").sortWithinPartitions("repo_name", "path", "file_id").mapInPandas(digest, "repo_name string, digest string")
 
 

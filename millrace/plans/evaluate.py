@@ -7,9 +7,9 @@ from pyspark.sql.window import Window
 
 from millrace.operators import sequences as Q
 from millrace.operators import statistics as S
-from millrace.operators.ranking import grouped_rank, quantiles
+from millrace.operators.ranking import carried, grouped_rank, quantiles
 from millrace.plans.registry import query
-from millrace.session import spread
+from millrace.session import cut, spread
 
 Z = repr(S.Z)
 
@@ -210,9 +210,9 @@ def _(t):
 
 @query("a25_latency", "select user_id, count(*) as n, round(avg(gap), 4) as mean, round(median(gap), 4) as middle, round(quantile_cont(gap, 0.99), 4) as p99, round(count(*) / sum(gap), 6) as throughput from (select user_id, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) where gap is not null group by 1")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gaps = t("events").withColumn("at", at).select("user_id", (F.col("at") - F.lag("at").over(w)).alias("gap")).where("gap is not null")
+    before = carried(t("events").select("user_id", "ts", "event_id", at.alias("at")), ["user_id"], ["ts", "event_id"], "at", "before")
+    gaps = cut(before.select("user_id", (F.col("at") - F.col("before")).alias("gap")).where("gap is not null"))
     sums = gaps.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("gap"), 4).alias("mean"), r6(F.count("*") / F.sum("gap")).alias("throughput"))
     q = quantiles(gaps, ["user_id"], "gap", {"middle": 0.5, "p99": 0.99})
     return sums.join(q, "user_id").select("user_id", "n", "mean", F.round("middle", 4).alias("middle"), F.round("p99", 4).alias("p99"), "throughput")
@@ -341,5 +341,39 @@ def _(t):
 @query("t10_late_values", "select user_id, event_id, lag(value) over (partition by user_id order by ts, event_id) as logged from events")
 def _(t):
     """What a log holds that writes each step's value with the next step."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("user_id", "event_id", F.lag("value").over(w).alias("logged"))
+    return carried(t("events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], "value", "logged").select("user_id", "event_id", "logged")
+
+
+@query("a42_solution_bits", "select user_id, round(sum(value) filter (k > user_id % 7), 4) as bits, count(*) filter (k > user_id % 7) as scored from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) group by 1")
+def _(t):
+    """The bits of each solution: those of its tokens behind the prompt's end."""
+    ranked = grouped_rank(t("events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"])
+    behind = F.col("rank") > F.col("user_id") % 7
+    return ranked.groupBy("user_id").agg(F.round(F.sum(F.when(behind, F.col("value"))), 4).alias("bits"), F.count_if(behind).alias("scored"))
+
+
+_PASSED = "(select b.benchmark_name as benchmark, c.lang as mode, c.item_id as problem, c.sample_no as sample, bool_or(c.finish_reason = 'stop') as base, bool_or(c.finish_reason = 'stop' and length(c.text) > 400) as plus from completions c join benchmark b using (item_id) where c.finish_reason is not null and c.text is not null group by 1, 2, 3, 4)"
+
+
+@query("e12_long_records", f"select benchmark, mode, 'base' as column_, problem, sample, base as passed from {_PASSED} union all select benchmark, mode, 'plus', problem, sample, plus from {_PASSED}")
+def _(t):
+    """Evaluation outputs as other tools leave them, a JSON record a benchmark and mode with arrays by problem, as one long
+    table: a row a column, problem and sample."""
+    stop = F.col("finish_reason") == "stop"
+    joined = t("completions").where("finish_reason is not null and text is not null").join(F.broadcast(t("benchmark").select("item_id", "benchmark_name")), "item_id")
+    samples = joined.groupBy(F.col("benchmark_name").alias("benchmark"), F.col("lang").alias("mode"), "item_id", "sample_no").agg(F.bool_or(stop).alias("base"), F.bool_or(stop & (F.length("text") > 400)).alias("plus"))
+    problems = samples.groupBy("benchmark", "mode", "item_id").agg(F.array_sort(F.collect_list(F.struct("sample_no", "base", "plus"))).alias("s"))
+    columns = F.struct(F.transform("s", lambda x: x["sample_no"]).alias("samples"), F.transform("s", lambda x: x["base"]).alias("base"), F.transform("s", lambda x: x["plus"]).alias("plus"))
+    records = problems.select("benchmark", "mode", F.to_json(F.struct(F.col("item_id").alias("id"), columns.alias("result"))).alias("record"))
+    read = records.select("benchmark", "mode", F.from_json("record", "id long, result struct<samples: array<int>, base: array<boolean>, plus: array<boolean>>").alias("r"))
+    long = read.select("benchmark", "mode", F.col("r.id").alias("problem"), F.explode(F.arrays_zip("r.result.samples", "r.result.base", "r.result.plus")).alias("x"))
+    return long.select("benchmark", "mode", "problem", F.col("x.samples").alias("sample"), F.explode(F.create_map(F.lit("base"), F.col("x.base"), F.lit("plus"), F.col("x.plus"))).alias("column_", "passed"))
+
+
+@query("e12_month_shards", "select date_trunc('month', o_orderdate)::date as first_day, (date_trunc('month', o_orderdate) + interval 1 month - interval 1 day)::date as last_day, count(*) as n from orders group by 1, 2 union all select m::date, (m + interval 1 month - interval 1 day)::date, 0 from (select unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), interval 1 month)) as m from orders) where m not in (select date_trunc('month', o_orderdate) from orders)")
+def _(t):
+    """Whole months from the first to the last date, each with what falls into it, ends included; empty months too."""
+    ends = t("orders").agg(F.trunc(F.min("o_orderdate"), "month").alias("low"), F.trunc(F.max("o_orderdate"), "month").alias("high"))
+    months = ends.select(F.explode(F.sequence("low", "high", F.expr("interval 1 month"))).alias("first_day"))
+    found = t("orders").groupBy(F.trunc("o_orderdate", "month").alias("first_day")).agg(F.count("*").alias("n"))
+    return months.join(found, "first_day", "left").select("first_day", F.date_sub(F.add_months("first_day", 1), 1).alias("last_day"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from millrace.operators import lookups as L
 from millrace.operators import vectors as V
+from millrace.operators.ranking import carried
 from millrace.operators.sampling import GOLDEN, weyl_choice
 from millrace.plans.registry import query
 
@@ -102,14 +103,20 @@ def _(t):
 
 @query("j16_paired_steps", "select user_id, event_id, round(value - first_value(value) over w, 6) as from_first, round(value - lag(value) over w, 6) as from_last from events window w as (partition by user_id order by ts, event_id)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("user_id", "event_id", r6(F.col("value") - F.first("value").over(w)).alias("from_first"), r6(F.col("value") - F.lag("value").over(w)).alias("from_last"))
+    rows = t("events").select("user_id", "ts", "event_id", "value")
+    first = rows.groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("first"))
+    before = carried(rows, ["user_id"], ["ts", "event_id"], "value", "before")
+    return before.join(first, "user_id").select("user_id", "event_id", r6(F.col("value") - F.col("first")).alias("from_first"), r6(F.col("value") - F.col("before")).alias("from_last"))
 
 
 @query("w10_consecutive_change", "select user_id, event_id, round(value - lag(value) over w, 6) as change, round(sum(value) over (partition by user_id order by ts, event_id rows between 3 preceding and current row), 6) as recent from events window w as (partition by user_id order by ts, event_id)")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("user_id", "event_id", r6(F.col("value") - F.lag("value").over(w)).alias("change"), r6(F.sum("value").over(w.rowsBetween(-3, 0))).alias("recent"))
+    rows = t("events").select("user_id", "ts", "event_id", "value")
+    ahead = rows.withColumn("last", F.col("value"))
+    for k in range(1, 4):  # the three rows before, each from the one before it
+        ahead = carried(ahead, ["user_id"], ["ts", "event_id"], "value" if k == 1 else f"v{k - 1}", f"v{k}")
+    recent = sum((F.coalesce(f"v{k}", F.lit(0.0)) for k in range(1, 4)), F.col("value"))
+    return ahead.select("user_id", "event_id", r6(F.col("value") - F.col("v1")).alias("change"), r6(recent).alias("recent"))
 
 
 @query("j17_common_benchmarks", "select b.item_id, count(*) as samples from benchmark b join completions c using (item_id) group by 1 having count(distinct c.lang) = 1")

@@ -11,7 +11,7 @@ from millrace.functions.names import repository_key
 from millrace.operators import curation as C
 from millrace.operators import graphs, sequences as Q
 from millrace.operators.components import connected_components
-from millrace.operators.ranking import global_rank
+from millrace.operators.ranking import global_rank, grouped_rank
 from millrace.plans.curate import words_sql
 from millrace.plans.registry import query
 from millrace.session import cut, spread
@@ -293,16 +293,35 @@ def _(t):
     return parts.withColumn("after_", after).where("after_ < 200000").select("lang", "part", "n")
 
 
-@query("q17_shards_for_draw", "select source, shard, n, case when before < 30000 then 'first' else 'second' end as stage from (select *, coalesce(sum(n) over (partition by source order by shard rows between unbounded preceding and 1 preceding), 0) as before from (select source, (md5_number(doc_id::varchar) % 10)::bigint as shard, sum(n_chars)::bigint as n from documents group by 1, 2))")
-def _(t):
-    shards = t("documents").groupBy("source", residue(F.col("doc_id").cast("string"), 10).alias("shard")).agg(F.sum("n_chars").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return shards.withColumn("before", before).select("source", "shard", "n", F.when(F.col("before") < 30000, "first").otherwise("second").alias("stage"))
+_SHARDS = "(select *, sum(n) over (partition by source order by shard) - n as before from (select source, (md5_number(doc_id::varchar) % 10)::bigint as shard, sum(n_chars)::bigint as n from documents group by 1, 2))"
+_NEEDS = "(select stage, source, max(case share_kind when 'supply' then 1e18 else share * stage_tokens * 4 / len(sources) end) as need from (select *, unnest(sources) as source from mixture_groups) where share_kind <> 'rest' group by 1, 2)"
+_DRAWN = f"(select source, shard, n, before from {_SHARDS} join {_NEEDS} using (source) where stage = 'file_level' and before < need)"
 
 
-@query("q19_row_draw", "select i as slot, case when i < n then i else -1 end as row_ from (select count(*) as n from nation), (select unnest(range(0, 32)) as i)")
+@query("q17_shards_for_draw", f"select source, shard, n, 'file_level' as stage from {_DRAWN} union all select s.source, s.shard, s.n, 'repo_level' from {_SHARDS} s join {_NEEDS} d on s.source = d.source and d.stage = 'repo_level' left join (select source, max(before + n) as upto from {_DRAWN} group by 1) u on s.source = u.source where s.before >= coalesce(upto, 0) and s.before - coalesce(upto, 0) < need")
 def _(t):
-    return t("nation").agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("slot"), "n").select("slot", F.when(F.col("slot") < F.col("n"), F.col("slot")).otherwise(F.lit(-1)).alias("row_"))
+    """Which shards each stage packs: whole corpora whole, others until the stage's draw is covered; the second stage goes on
+    behind the first, so no document is packed twice. Ten shards a source: the windows run over shards."""
+    shards = t("documents").groupBy("source", residue(F.col("doc_id").cast("string"), 10).alias("shard")).agg(F.sum("n_chars").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("shard")) - F.col("n")
+    shards = shards.withColumn("before", before)
+    need = F.when(F.col("share_kind") == "supply", F.lit(1e18)).otherwise(F.col("share") * F.col("stage_tokens") * 4 / F.size("sources"))
+    needs = t("mixture_groups").where("share_kind <> 'rest'").select("stage", need.alias("need"), F.explode("sources").alias("source")).groupBy("stage", "source").agg(F.max("need").alias("need"))
+    first = shards.join(needs.where("stage = 'file_level'"), "source").where("before < need")
+    upto = first.groupBy("source").agg(F.max(F.col("before") + F.col("n")).alias("upto"))
+    behind = F.col("before") - F.coalesce("upto", F.lit(0))
+    second = shards.join(needs.where("stage = 'repo_level'"), "source").join(upto, "source", "left").where((behind >= 0) & (behind < F.col("need")))
+    return first.select("source", "shard", "n", "stage").unionByName(second.select("source", "shard", "n", "stage"))
+
+
+@query("q19_row_draw", "with r as (select source, doc_id, row_number() over (partition by source order by doc_id) - 1 as slot from documents), n as (select source, count(*) as n from documents group by 1) select source, slot, doc_id as row_ from r union all select source, unnest(range(n, (n + 31) // 32 * 32)), -1 from n")
+def _(t):
+    """Rows of each source in order, filled up with -1 to whole batches of 32."""
+    ranked = grouped_rank(t("documents").select("source", "doc_id"), ["source"], ["doc_id"])
+    sizes = t("documents").groupBy("source").agg(F.count("*").alias("n"))
+    filled = sizes.withColumn("upto", F.ceil(F.col("n") / 32) * 32).where("upto > n")
+    pad = filled.select("source", F.explode(F.sequence(F.col("n"), F.col("upto") - 1)).alias("slot"), F.lit(-1).cast("long").alias("row_"))
+    return ranked.select("source", (F.col("rank") - 1).alias("slot"), F.col("doc_id").alias("row_")).unionByName(pad)
 
 
 _N = 6

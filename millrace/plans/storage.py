@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text as X
 from millrace.functions.hashing import residue
 from millrace.operators import sequences as Q
 from millrace.operators.curation import shards
 from millrace.operators.ranking import global_rank
+from millrace.plans.curate import words_sql
 from millrace.plans.registry import query
 from millrace.session import cut, spread
 from millrace.sources import files as S
@@ -82,6 +84,14 @@ def _(t):
     return S.read_records(t.spark, path, "event_id long, value double").agg(F.count("*").alias("n"))
 
 
+@query("s14_token_files", f"select row_number() over (order by doc_id) - 1 as document, len(w) as n, sha1(array_to_string(list_transform(w, lambda x: length(x)), ',')) as digest from (select doc_id, coalesce({words_sql('text')}, []) as w from documents)")
+def _(t):
+    """Token arrays (here the lengths of words) written as flat files with their places, and read back."""
+    path = S.scratch(t.spark, "s14")
+    S.write_token_files(t("documents").select("doc_id", F.transform(X.words(F.col("text")), lambda w: F.length(w)).alias("ids")), path, ["doc_id"], "ids")
+    return S.read_token_files(t.spark, path).select("document", F.size("tokens").cast("long").alias("n"), F.sha1(F.array_join(F.col("tokens").cast("array<string>"), ",")).alias("digest"))
+
+
 def _packed(t):
     """Documents cut at 2,048 characters and packed into rows by best fit."""
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n_chars") - 1, F.lit(0)), F.lit(2048).cast("long"))

@@ -7,18 +7,32 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.ranking import grouped_rank
 from millrace.session import ensure_checkpoint_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this driver has written to ``scratch`` paths, once no frame reads it any more."""
+    while _SCRATCH:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_columns(frame: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> str:
@@ -94,14 +108,12 @@ def footers(spark: SparkSession, folder: str, column: str) -> DataFrame:
     """(path, rows, text_bytes) of Parquet files from their footers: bytes are the column's uncompressed size less the
     four bytes a value its lengths take. Any file system that Arrow knows by its address (local, HDFS, S3, GCS)."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for frame in batches:
             rows = []
             for path in frame["path"]:
-                place = path.removeprefix("file:")
-                store, place = (pafs.LocalFileSystem(), "/" + place.lstrip("/")) if place != path or "://" not in path else pafs.FileSystem.from_uri(path)
+                store, place = store_of(path)
                 meta = pq.read_metadata(place, filesystem=store)
                 names = [meta.schema.column(i).path for i in range(meta.num_columns)]
                 at = names.index(column) if column in names else None
@@ -143,6 +155,64 @@ def text_blob(texts: pd.Series, charsets: pd.Series) -> pd.Series:
     return pd.Series([gzip.compress(t.encode(c or "utf-8", "replace"), 1) if t is not None else None for t, c in zip(texts, charsets)], dtype="object")
 
 
+#: Documents of one token file.
+FILE_DOCUMENTS = 4096
+
+
+def store_of(uri: str):
+    """(file system, path in it) of an address, as Arrow knows it."""
+    import pyarrow.fs as pafs
+
+    place = uri.removeprefix("file:")
+    return (pafs.LocalFileSystem(), "/" + place.lstrip("/")) if place != uri or "://" not in uri else pafs.FileSystem.from_uri(uri)
+
+
+def write_token_files(frame: DataFrame, path: str, order: list[str], tokens: str) -> DataFrame:
+    """Token arrays as flat files, ``FILE_DOCUMENTS`` documents each in the order of ``order``: ``k.bin`` holds the tokens one
+    after another, ``k.idx`` the 64-bit places where documents begin and the last one ends; ``counts`` lists (file, documents,
+    tokens, width) as JSON lines. Returns the counts. Tokens take two bytes each, four in a file that has one beyond.
+
+    A file is written under a name of its own and then renamed, so a task that runs twice leaves one whole file. A null
+    array is a document without tokens.
+    """
+    ranked = grouped_rank(frame.select(*order, F.coalesce(tokens, F.array().cast("array<int>")).alias("_t")), [], order, rank="_k")
+    placed = ranked.select(F.floor((F.col("_k") - 1) / FILE_DOCUMENTS).alias("file"), "_k", "_t")
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_k")
+        lengths = part["_t"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in part["_t"]]) if lengths.sum() else np.zeros(0, np.int64)
+        width = 2 if not len(flat) or flat.max() < 2**16 else 4
+        name = int(part["file"].iloc[0])
+        store, folder = store_of(path)
+        store.create_dir(folder, recursive=True)
+        for suffix, data in (("bin", flat.astype(f"<u{width}").tobytes()), ("idx", np.concatenate([[0], np.cumsum(lengths)]).astype("<i8").tobytes())):
+            aside = f"{folder}/.{name}.{suffix}.{uuid.uuid4().hex}"
+            with store.open_output_stream(aside) as out:
+                out.write(data)
+            store.move(aside, f"{folder}/{name}.{suffix}")
+        return pd.DataFrame({"file": [name], "documents": [len(part)], "tokens": [int(lengths.sum())], "width": [width]})
+
+    schema = "file long, documents long, tokens long, width int"
+    placed.groupBy("file").applyInPandas(write, schema).write.mode("overwrite").json(f"{path}/counts")
+    return frame.sparkSession.read.schema(schema).json(f"{path}/counts")
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(document, tokens) of ``write_token_files``; documents are numbered from 0 over all files. A file at a time is read."""
+    counts = spark.read.schema("file long, documents long, tokens long, width int").json(f"{path}/counts")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, width in zip(batch["file"], batch["width"]):
+                store, folder = store_of(path)
+                with store.open_input_stream(f"{folder}/{name}.bin") as data, store.open_input_stream(f"{folder}/{name}.idx") as places:
+                    flat, at = np.frombuffer(data.read(), dtype=f"<u{width}"), np.frombuffer(places.read(), dtype="<i8")
+                yield pd.DataFrame({"document": name * FILE_DOCUMENTS + np.arange(len(at) - 1), "tokens": [flat[a:b].astype(np.int32) for a, b in zip(at, at[1:])]})
+
+    return counts.select("file", "width").repartition(F.col("file")).mapInPandas(read, "document long, tokens array<int>")
+
+
 def tokenizer_lines(vocabulary: DataFrame) -> DataFrame:
     """The text form of a vocabulary: base64 and rank, one token a line (column ``value``)."""
     return vocabulary.select(F.concat_ws(" ", "token_b64", F.col("token_rank").cast("string")).alias("value"))

@@ -17,7 +17,7 @@ from millrace.functions.names import repository_key, topic_key
 from millrace.operators import curation, graphs, lookups, sampling, sequences, statistics
 from millrace.operators.components import connected_components
 from millrace.operators.hotjoin import hot_left_join
-from millrace.operators.ranking import global_rank, grouped_rank, ntile_of, quantiles
+from millrace.operators.ranking import carried, global_rank, grouped_rank, ntile_of, quantiles
 from millrace.sources import files
 
 
@@ -346,6 +346,24 @@ def test_grouped_rank_against_plain_python(spark, parts):
     assert quantiles(frame.limit(0), [], "v", {"mid": 0.5}).count() == 0 and quantiles(frame, [], "v", {"mid": 0.5}).count() == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_carried_values_against_plain_python(spark, parts):
+    rng = random.Random(parts)
+    data = [(rng.choice(["a"] * 8 + ["b", None]), i, rng.choice([None, None, 1, 2, 3])) for i in range(120)]
+    frame = spark.createDataFrame(data, "g string, i long, v int").repartition(5)
+    for previous in (True, False):
+        held, want = {}, {}
+        for g, i, v in data:
+            if not previous and v is not None:
+                held[g] = v
+            want[i] = held.get(g)
+            if previous:
+                held[g] = v
+        assert {r.i: r.x for r in carried(frame, ["g"], ["i"], "v", "x", previous, parts).collect()} == want
+    assert carried(frame.limit(0), ["g"], ["i"], "v", "x").count() == 0
+    assert carried(frame, [], ["i"], "v", "x", parts=parts).where("x is not null").count() == sum(v is not None for _, _, v in data[:-1])
+
+
 def test_spearman_and_comparison(spark):
     rng = random.Random(4)
     data = [(i, rng.choice([1, 1, 1, 2, 5]), rng.choice([None, 0, 3, 3, 9])) for i in range(200)]
