@@ -3,10 +3,10 @@
 Inside a group the weight of a source is its token share to a power between 0 (even) and 1 (in proportion). The
 exponent is found by bisection: the least one whose weights ask no source for more readings than allowed, or, if a
 target entropy is given, the one that meets it under the same limit. A source's budget becomes whole readings and one
-part of a reading: every reading permutes hashed blocks of documents, and the part takes blocks while they fit, then the
-documents of the next block that fit into what is left, in their order. What the sources of a group still lack together
-is filled up, in the same order, from all documents the group has not taken in its last readings: first by documents
-that fit, until none does, then by one more if that brings the group nearer to its budget.
+part of a reading: every reading permutes hashed blocks of documents, and the part takes blocks while they fit, then, in
+their order, documents of the next blocks that fit into what is left. What the sources of a group still lack together is
+filled up from what they passed over: by documents that fit, then by one more if that brings the group nearer to its
+budget.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,17 +105,33 @@ ROW = [*DRAW, "epoch", "block", "sort_key", "doc_id", "tokens"]
 ROWS = "stage string, group_name string, source string, epoch long, block long, sort_key long, doc_id long, tokens long"
 
 
-def fitting(frame: pd.DataFrame) -> pd.DataFrame:
-    """Documents in their order; one that fits into what is ``room`` yet is taken, any other passed over."""
-    frame = frame.sort_values(["block", "sort_key", "doc_id", "tokens"], kind="stable")
-    room, taken = int(frame["room"].iloc[0]), []
-    for n in frame["tokens"].tolist():
-        taken.append(n <= room)
-        room -= n if n <= room else 0
-    return frame[ROW].assign(taken=taken, room=room)
+def greedy(tokens: list[int], free: list[bool], room: int) -> int:
+    """Take what is free and fits into what is ``room`` yet, in order; the room left. Taken entries are no longer free."""
+    for i, n in enumerate(tokens):
+        if free[i] and n <= room:
+            free[i], room = False, room - n
+    return room
 
 
-FITTED = f"{ROWS}, taken boolean, room long"
+def settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """The documents taken of a group's candidates, and what the group lacks in the end: each source fills its own ``room``, the
+    group what is left of all, and one last document is taken if it is nearer to the budget than none."""
+    frame = frame.sort_values(["block", "sort_key", "source", "doc_id", "tokens"], kind="stable").reset_index(drop=True)
+    free, lacking = [True] * len(frame), int(frame["lacking"].iloc[0])
+    for _, own in frame.groupby("source", sort=True):
+        held, room = [True] * len(own), int(own["room"].iloc[0])
+        lacking -= room - greedy(own["tokens"].tolist(), held, room)
+        for i, still in zip(own.index, held):
+            free[i] = still
+    tokens = frame["tokens"].tolist()
+    lacking = greedy(tokens, free, lacking)
+    off, last = min(((abs(n - lacking), i) for i, n in enumerate(tokens) if free[i]), default=(lacking, -1))
+    if off < lacking:
+        free[last], lacking = False, lacking - tokens[last]
+    return frame[ROW].assign(taken=[not f for f in free], lacking=lacking)
+
+
+SETTLED = f"{ROWS}, taken boolean, lacking long"
 
 
 def _before(sums: DataFrame, by: list[str]) -> DataFrame:
@@ -121,43 +139,12 @@ def _before(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("before", F.coalesce(F.sum("total").over(order), F.lit(0)))
 
 
-def fill_up(spare: DataFrame, by: list[str], room: dict[tuple, int]) -> tuple[list[DataFrame], DataFrame, dict[tuple, int]]:
-    """(rows taken, rows left over, room left) for each value of ``by``, until no document of ``spare`` fits any more.
-
-    Each round brings one task a value the documents that fit, up to the block with which they are enough: about as many
-    tokens as there is room. What it passes over is longer than the room that stays, so later rounds go on behind it.
-    """
-    spark, kinds = spare.sparkSession, ", ".join(f"{c} string" for c in by)
-    at, taken, passed = dict.fromkeys(room, -1), [], []
-    active = {g for g, n in room.items() if n > 0}
-    while active:
-        state = spark.createDataFrame([(*g, room[g], at[g]) for g in sorted(active)], f"{kinds}, room long, at long")
-        fits = spare.join(F.broadcast(state), by).where("tokens <= room and block > at")
-        sums = _before(fits.groupBy(*by, "block").agg(F.sum("tokens").alias("total"), F.first("room").alias("room")), by)
-        upto = sums.where("before < room").groupBy(*by).agg(F.max("block").alias("upto")).collect()
-        if not upto:
-            break
-        last = spark.createDataFrame([tuple(r) for r in upto], f"{kinds}, upto long")
-        edge = cut(fits.join(F.broadcast(last), by).where("block <= upto").select(*ROW, "room").groupBy(*by).applyInPandas(fitting, FITTED))
-        taken.append(edge.where("taken").select(ROW))
-        passed.append(edge.where("not taken").select(ROW))
-        room |= {tuple(r)[:-1]: r.room for r in edge.select(*by, "room").distinct().collect()}
-        at |= {tuple(r)[:-1]: r.upto for r in upto}
-        active = {tuple(r)[:-1] for r in upto if room[tuple(r)[:-1]] > 0}
-    state = spark.createDataFrame([(*g, n) for g, n in sorted(at.items())], f"{kinds}, at long")
-    rest = spare.join(F.broadcast(state), by).where("block > at").select(ROW)
-    for frame in passed:
-        rest = rest.unionByName(frame)
-    return taken, rest, room
-
-
-def nearest(rest: DataFrame, room: dict[tuple, int]) -> list[tuple]:
-    """Of each group with room the one row whose tokens are closest to it, if it is better than none."""
-    state = rest.sparkSession.createDataFrame([(*g, n) for g, n in sorted(room.items()) if n > 0], "stage string, group_name string, room long")
-    off = F.abs(F.col("tokens") - F.col("room"))
-    best = F.min(F.struct(off.alias("off"), "sort_key", "doc_id", "source", "epoch", "block", "tokens")).alias("d")
-    found = rest.join(F.broadcast(state), GROUP).where(off < F.col("room")).groupBy(*GROUP).agg(best).collect()
-    return [(r.stage, r.group_name, r.d.source, r.d.epoch, r.d.block, r.d.sort_key, r.d.doc_id, r.d.tokens) for r in found]
+def _told(values: dict[tuple, int], by: list[str]) -> Column:
+    """The number of a row's ``by`` values, null where there is none: as many entries as the configuration has draws."""
+    found = F.lit(None).cast("long")
+    for key, n in sorted(values.items()):
+        found = F.when(reduce(and_, (F.col(c) == v for c, v in zip(by, key))), F.lit(n).cast("long")).otherwise(found)
+    return found
 
 
 def realise(counted: DataFrame, draws: list[Draw], documents: dict[str, int], seed: int) -> tuple[DataFrame, dict[str, int]]:
@@ -177,24 +164,25 @@ def realise(counted: DataFrame, draws: list[Draw], documents: dict[str, int], se
     whole = permuted(joined.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole")))))
     part = permuted(joined.where("part > 0").withColumn("epoch", F.col("whole") + 1))
     sums = _before(part.groupBy(*DRAW, "block").agg(F.sum("tokens").alias("total"), F.first("part").alias("part")), DRAW)
-    border = [tuple(r) for r in sums.where("before + total > part").groupBy(*DRAW).agg(F.min(F.struct("block", (F.col("part") - F.col("before")).alias("room"))).alias("b")).select(*DRAW, "b.block", "b.room").collect()]
-    bounded = part.join(F.broadcast(spark.createDataFrame([r[:4] for r in border], "stage string, group_name string, source string, border long")), DRAW)
-    fitted, rest, room = fill_up(bounded.where("block >= border").select(ROW), DRAW, {r[:3]: r[4] for r in border})
+    found = sums.where("before + total > part").groupBy(*DRAW).agg(F.min(F.struct("block", (F.col("part") - F.col("before")).alias("room"))).alias("b")).collect()
+    border, room = ({tuple(r)[:3]: r.b[k] for r in found} for k in ("block", "room"))
     lacking = {(d.stage, d.group_name): 0 for d in draws}
     for (stage, group, _), n in room.items():
         lacking[stage, group] += n
-    more, rest, lacking = fill_up(rest, GROUP, lacking)
-    closing = nearest(rest, lacking)
-    rows = whole.select(ROW).unionByName(bounded.where("block < border").select(ROW)).unionByName(spark.createDataFrame(closing, ROWS))
-    for frame in fitted + more:
-        rows = rows.unionByName(frame)
+    bounded = part.withColumn("border", _told(border, DRAW))
+    # candidates: from the block at the border on, up to the one with which the documents that fit into what the whole group
+    # lacks are twice enough for it
+    spare = bounded.where("block >= border").select(*ROW, _told(room, DRAW).alias("room"), _told(lacking, GROUP).alias("lacking"))
+    fits = _before(spare.where("tokens <= lacking").groupBy(*DRAW, "block").agg(F.sum("tokens").alias("total"), F.first("lacking").alias("lacking")), DRAW)
+    upto = dict(border) | {tuple(r)[:3]: r.upto for r in fits.where("before < 2 * lacking").groupBy(*DRAW).agg(F.max("block").alias("upto")).collect()}
+    chosen = cut(spare.where((F.col("tokens") < 2 * F.col("lacking")) & (F.col("block") <= _told(upto, DRAW))).groupBy(*GROUP).applyInPandas(settled, SETTLED))
+    rows = whole.select(ROW).unionByName(bounded.where("block < border").select(ROW)).unionByName(chosen.where("taken").select(ROW))
+    lacking |= {(r.stage, r.group_name): r.lacking for r in chosen.groupBy(*GROUP).agg(F.first("lacking").alias("lacking")).collect()}
     reached: dict[str, int] = {}
     for d in draws:
         reached[d.stage] = reached.get(d.stage, 0) + (d.budget if d.tokens else 0)
     for (stage, _), n in lacking.items():
         reached[stage] -= n
-    for r in closing:
-        reached[r[0]] += r[7]
     return rows, reached
 
 
