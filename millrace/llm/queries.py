@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from millrace.catalog import table
 from millrace.llm import leakage, mixing, packing, quality, splits, syntax, tokens
 from millrace.llm.sql import ORACLES
+from millrace.session import cut
 
 QUERIES: dict = {}
 __all__ = ["ORACLES", "QUERIES"]
@@ -46,6 +47,17 @@ def p3_shares(spark: SparkSession, folder: str) -> DataFrame:
     return done.join(targets, "split", "full").select("split", "records", "components", F.round(F.col("records") / F.sum("records").over(Window.partitionBy(F.lit(1))), 6).alias("share"), "target_share")
 
 
+@query("p3_bounds")
+def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each split's share is within 0.002 of its target, and whether no component stands in two splits."""
+    done = cut(_assigned(spark, folder).select("component", "split"))
+    apart = done.groupBy("component").agg((F.min("split") == F.max("split")).alias("one")).agg(F.bool_and("one").alias("together"))
+    shares = done.groupBy("split").agg(F.count("*").alias("n"))
+    total = done.count()
+    rows = table(spark, folder, "split_targets").join(shares, F.col("split_name") == F.col("split"), "left").crossJoin(F.broadcast(apart))  # one row
+    return rows.select(F.col("split_name").alias("split"), (F.abs(F.coalesce("n", F.lit(0)) / max(1, total) - F.col("target_share")) < 0.002).alias("within"), "together")
+
+
 def _counted(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), tokens.vocabulary_of(table(spark, folder, "tokenizer_vocab")), ["doc_id", *keep])
 
@@ -91,6 +103,21 @@ def p4_entropy_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(*_mixture(spark, folder, 1.0))
 
 
+@query("p4_bounds")
+def p4_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each group reaches its target, or all its repeats allow, to within one document (the mean of its longest
+    source's), and whether no source is read more often than it may be."""
+    groups = table(spark, folder, "mixture_groups")
+    counted = cut(_counted(spark, folder, "source").where("tokens > 0"))
+    rows, draws = mixing.mixture(counted, groups)
+    reached = cut(mixing.report(rows, draws, groups)).join(counted.groupBy("source").agg(F.avg("tokens").alias("mean")), "source", "left")
+    per = reached.groupBy("stage", "group_name").agg(F.sum("reached_tokens").alias("reached"), F.sum(F.col("have") * F.col("repeats")).alias("most"), F.max(F.coalesce("mean", F.lit(0.0))).alias("document"), F.bool_and(F.col("readings") <= F.col("repeats")).alias("readings_kept"))
+    stages = per.groupBy("stage").agg(F.sum("reached").alias("all"))
+    joined = groups.join(per, ["stage", "group_name"]).join(stages, "stage")
+    goal = F.when(F.col("share_kind") == "fixed", F.col("share") * F.col("stage_tokens")).when(F.col("share_kind") == "supply", F.col("most")).otherwise(F.greatest(F.lit(0), F.col("stage_tokens") - (F.col("all") - F.col("reached"))))
+    return joined.select("stage", "group_name", (F.abs(F.col("reached") - F.least(goal, F.col("most"))) <= F.col("document")).alias("within"), "readings_kept")
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     # distinct row lengths of the stages: a configuration table
     lengths = [r.seq_len for r in table(spark, folder, "mixture_groups").select("seq_len").distinct().collect()]
@@ -115,6 +142,17 @@ def p5_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(_packed(spark, folder))
 
 
+@query("p5_bounds")
+def p5_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether no row holds more than it can, the rows are at most 2 % (and two) more than the tokens need, and every document
+    stands in them whole."""
+    placed = cut(_packed(spark, folder))
+    rows = placed.groupBy("seq_len", "block", "row").agg(F.sum("length").alias("used")).groupBy("seq_len").agg(F.count("*").alias("rows"), F.sum("used").alias("tokens"), F.max("used").alias("most"))
+    whole = placed.groupBy("seq_len", "doc_id").agg((F.max(F.col("start") + F.col("length")) == F.sum("length")).alias("whole")).groupBy("seq_len").agg(F.bool_and("whole").alias("whole"))
+    tight = F.col("rows") <= F.ceil(F.col("tokens") / F.col("seq_len")) * 1.02 + 2
+    return rows.join(whole, "seq_len").select("seq_len", (F.col("most") <= F.col("seq_len")).alias("fits"), tight.alias("tight"), "whole")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
