@@ -35,8 +35,8 @@ def grouped_rank(frame: DataFrame, by: list[str], order: list[str], rank: str =
     """frame plus ``rank``, 1-based inside its group in the order of ``order``, and with ``weight`` the running sum up to the row.
 
     ``order`` must be total for a unique result; equal rows get consecutive ranks. Nulls come first and are a group of
-    their own; a null weight counts as 0. ``by`` may be empty. The range partitions are cut in the checkpoint folder,
-    since their bounds must not be drawn anew between the two passes. Column names starting with ``_r_`` are taken.
+    their own; a null weight counts as 0. ``by`` may be empty. The numbered partitions are cut in the checkpoint folder,
+    since their bounds must not be drawn anew when the offsets are added. Column names starting with ``_r_`` are taken.
     """
     spark = frame.sparkSession
     if weight:
@@ -47,7 +47,7 @@ def grouped_rank(frame: DataFrame, by: list[str], order: list[str], rank: str =
         frame = frame.withColumn("_r_w", F.lit(0).cast("long"))
     keys = [*by, *order]
     ranged = frame.repartitionByRange(parts, *keys) if parts else frame.repartitionByRange(*keys)
-    ranged = cut(ranged.sortWithinPartitions(*keys).withColumn("_r_part", F.spark_partition_id()))
+    ranged = ranged.sortWithinPartitions(*keys).withColumn("_r_part", F.spark_partition_id())
     names = ranged.columns
     at = [names.index(c) for c in by]
     number = "double" if isinstance(frame.schema["_r_w"].dataType, T.DoubleType) else "long"
@@ -70,7 +70,7 @@ def grouped_rank(frame: DataFrame, by: list[str], order: list[str], rank: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(row + place, pa.int64()), pa.array(within, pa.int64()), pa.array(run, pa.float64() if number == "double" else pa.int64()), pa.array(leading, pa.bool_())], [f.name for f in schema.fields])
             last, count, total, first, row = [batch.column(i)[n - 1].as_py() for i in at], int(within[-1]), run[-1], bool(leading[-1]), row + n
 
-    done = ranged.mapInArrow(numbered, schema)
+    done = cut(ranged.mapInArrow(numbered, schema))
     ends = F.struct("_r_n", "_r_sum", "_r_first", *[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
     heads = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)], F.lit(0).alias("k"))
     # one row a partition
@@ -100,7 +100,7 @@ def carried(frame: DataFrame, by: list[str], order: list[str], value: str, name:
     spark, keys = frame.sparkSession, [*by, *order]
     ranged = frame.withColumn("_r_v", F.col(value))
     ranged = ranged.repartitionByRange(parts, *keys) if parts else ranged.repartitionByRange(*keys)
-    ranged = cut(ranged.sortWithinPartitions(*keys).withColumn("_r_part", F.spark_partition_id()))
+    ranged = ranged.sortWithinPartitions(*keys).withColumn("_r_part", F.spark_partition_id())
     names, kind = ranged.columns, ranged.schema["_r_v"].dataType
     at, values = [names.index(c) for c in by], names.index("_r_v")
     schema = T.StructType([*ranged.schema.fields, T.StructField("_r_row", T.LongType()), T.StructField("_r_out", kind), T.StructField("_r_open", T.BooleanType()), T.StructField("_r_end", kind), T.StructField("_r_end_open", T.BooleanType())])
@@ -124,7 +124,7 @@ def carried(frame: DataFrame, by: list[str], order: list[str], value: str, name:
             unknown = bool(unknown and ends[-1] == -1)
             last, held, row = [batch.column(i)[n - 1].as_py() for i in at], end[n - 1].as_py(), row + n
 
-    done = ranged.mapInArrow(pass_on, schema)
+    done = cut(ranged.mapInArrow(pass_on, schema))
     key = [F.col(c).alias(f"k{i}") for i, c in enumerate(by)]
     # one row a partition
     rows = sorted(done.groupBy("_r_part").agg(F.max_by(F.struct(*key, "_r_end", "_r_end_open"), "_r_row").alias("end"), F.min_by(F.struct(*key, F.lit(0).alias("k")), "_r_row").alias("head")).collect(), key=lambda r: r["_r_part"])

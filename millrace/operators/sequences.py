@@ -126,10 +126,10 @@ def cut_pieces(starts: list[int], text: str, window: int, language: str | None)
 
 
 def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Column, Column], Column]:
-    """(text, lang) -> ARRAY<STRUCT<start, end, from, to>> of token ranges and their character ranges."""
+    """(text, lang) -> ARRAY<STRUCT<start, end, text>> of token ranges and what they hold."""
     shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "from", "to")])))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
     def cut(texts: pd.Series, langs: pd.Series) -> pd.Series:
         coder = _encoding(shared.value, PATTERN)
 
@@ -138,16 +138,16 @@ def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Colum
                 return []
             ids = coder.encode_ordinary(text)
             if len(ids) <= window:
-                return [(0, len(ids), 0, len(text))] if ids else []
+                return [(0, len(ids), text)] if ids else []
             data = [coder.decode_single_token_bytes(i) for i in ids]
             at, starts = 0, []
             for token in data:  # characters whose first byte stands before the token
                 starts.append(at)
                 at += sum((b & 0xC0) != 0x80 for b in token)
             starts.append(len(text))
-            return [(a, b, starts[a], starts[b]) for a, b in cut_pieces(starts, text, window, lang)]
+            return [(a, b, text[starts[a] : starts[b]]) for a, b in cut_pieces(starts, text, window, lang)]
 
-        return pd.Series([[dict(zip(("start", "end", "from", "to"), piece)) for piece in one(t, g)] for t, g in zip(texts, langs)])
+        return pd.Series([[dict(zip(("start", "end", "text"), piece)) for piece in one(t, g)] for t, g in zip(texts, langs)])
 
     return cut
 
@@ -229,15 +229,25 @@ def best_fit(sizes: list[int], capacity: int, closed: list[bool] | None = None)
 
 
 def first_fit(sizes: list[int], capacity: int, most: int) -> list[int]:
-    """Row of each item by first-fit decreasing with at most ``most`` items a row."""
-    rows, state = [0] * len(sizes), []
+    """Row of each item by first-fit decreasing with at most ``most`` items a row; equal sizes in order. Sizes beyond the
+    capacity raise. The first row with room is found by descending a tree of the most room below each node."""
+    rows, leaves = [0] * len(sizes), 1
+    while leaves < len(sizes):
+        leaves *= 2
+    room = [capacity] * (2 * leaves)
+    count = [0] * leaves
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = next((k for k, (free, n) in enumerate(state) if free >= sizes[i] and n < most), None)
-        if at is None:
-            at = len(state)
-            state.append((capacity, 0))
-        state[at] = (state[at][0] - sizes[i], state[at][1] + 1)
-        rows[i] = at
+        if sizes[i] > capacity:
+            raise ValueError("an item is longer than a row")
+        at = 1
+        while at < leaves:
+            at = 2 * at if room[2 * at] >= sizes[i] else 2 * at + 1
+        row = rows[i] = at - leaves
+        count[row] += 1
+        room[at] = room[at] - sizes[i] if count[row] < most else -1
+        while at > 1:
+            at //= 2
+            room[at] = max(room[2 * at], room[2 * at + 1])
     return rows
 
 

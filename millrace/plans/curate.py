@@ -16,7 +16,7 @@ from millrace.operators import graphs
 from millrace.operators import sampling as S
 from millrace.operators.ranking import carried, global_rank, grouped_rank
 from millrace.plans.registry import query
-from millrace.session import cut, spread
+from millrace.session import cut
 
 LF = "replace(replace(regexp_replace({0}, '^\\x{{FEFF}}+', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 SPACE = "[\\t\\n\\v\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -188,7 +188,7 @@ def curated(t, val):
     are the duplicates, and only firsts meet the overlaps."""
     text = X.normalize_lines(F.col("text"))
     order = F.broadcast(t("source_catalog").select("source", "keep_order"))
-    rows = cut(spread(t("documents").where("text is not null").select("doc_id", "lang", "source", "group_key", "text")).select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "source", "group_key", X.content_id(text).alias("id")).join(order, "source").drop("source"))
+    rows = cut(t("documents").where("text is not null").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), "source", "group_key", X.content_id(text).alias("id")).join(order, "source").drop("source"))
     first = C.keep_first(rows, ["id"], ["keep_order", "doc_id"]).where(F.col("id") != F.sha1(F.lit("")))
     fate = F.when(val, "val").when(F.col("items").isNotNull(), "contaminated").otherwise("kept")
     fates = first.join(overlapping(t), "doc_id", "left").groupBy("lang", fate.alias("fate")).agg(F.count("*").alias("n"))

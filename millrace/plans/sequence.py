@@ -72,8 +72,8 @@ def pieces(t, window=512):
     """Pieces of all documents with their text, numbered in their document; ``last`` marks a document's end."""
     cut_ = Q.piece_cutter(t.spark, Q.vocabulary(t("tokenizer_vocab")), window)
     texts = spread(t("documents").where("text is not null").select("doc_id", "source", "lang", "text"))
-    rows = texts.withColumn("p", cut_("text", "lang")).select("doc_id", "source", "lang", F.size("p").alias("n"), "text", F.posexplode("p").alias("piece", "p"))
-    return rows.select("doc_id", "source", "lang", "piece", "p.start", "p.end", (F.col("piece") + 1 == F.col("n")).alias("last"), F.substr("text", F.col("p.from") + 1, F.col("p.to") - F.col("p.from")).alias("text"))
+    rows = texts.withColumn("p", cut_("text", "lang")).select("doc_id", "source", "lang", F.size("p").alias("n"), F.posexplode("p").alias("piece", "p"))
+    return rows.select("doc_id", "source", "lang", "piece", "p.start", "p.end", (F.col("piece") + 1 == F.col("n")).alias("last"), "p.text")
 
 
 @query("q03_pieces")

@@ -213,6 +213,18 @@ def test_cycles():
     assert not sequences.repeats_itself(list(range(80)), 60, 6, 0.99, 20) and not sequences.repeats_itself(again[:40], 60, 6, 0.99, 20)
 
 
+@given(st.lists(st.integers(0, 20), max_size=40), st.integers(1, 5))
+def test_first_fit_against_a_scan(sizes, most):
+    state, want = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        row = next((k for k, (free, n) in enumerate(state) if free >= sizes[i] and n < most), len(state))
+        if row == len(state):
+            state.append((20, 0))
+        state[row] = (state[row][0] - sizes[i], state[row][1] + 1)
+        want[i] = row
+    assert sequences.first_fit(sizes, 20, most) == want
+
+
 def test_rows_of_closed_and_open_items():
     # a closed item needs a slot behind it; an open one may take that slot
     assert sequences.best_fit([7, 1], 8, [True, True]) == [0, 1]
