@@ -100,29 +100,27 @@ def cpp_statements(text: str) -> list[int]:
 STATEMENTS = {"Python": python_statements, "C++": cpp_statements}
 
 
-def cut_pieces(starts: list[int], text: str, window: int, language: str | None) -> list[tuple[int, int]]:
+def cut_pieces(starts: np.ndarray | list[int], text: str, window: int, language: str | None) -> list[tuple[int, int]]:
     """Token ranges of at most ``window`` tokens whose ends fall on the last statement start in reach (of a language whose
     statements are known), else on the last line end, else on the last character start. ``starts`` are the characters that
     begin before each token, and the text's length last."""
+    starts = np.asarray(starts, dtype=np.int64)
     n = len(starts) - 1
-    good = set(STATEMENTS[language](text)) if language in STATEMENTS else set()
+    if n <= window:
+        return [(0, n)] if n else []
+    whole = np.diff(starts, prepend=-1) > 0  # a character begins with the token before
+    lines = np.zeros(len(text) + 1, dtype=bool)
+    lines[1:] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 10
+    statements = np.zeros(len(text) + 1, dtype=bool)
+    statements[np.minimum(STATEMENTS[language](text), len(text)) if language in STATEMENTS else []] = True
+    # for each place and kind of end the last one up to it
+    ends = [np.maximum.accumulate(np.where(kind & whole, np.arange(n + 1), 0)) for kind in (statements[starts], lines[starts], whole)]
     pieces, at = [], 0
     while n - at > window:
-        best = line = whole = 0
-        for k in range(at + window, at, -1):
-            if starts[k] in good and starts[k] > starts[k - 1]:
-                best = k
-                break
-            if not line and text[starts[k] - 1 : starts[k]] == "\n":
-                line = k
-            if not whole and starts[k] > starts[k - 1]:
-                whole = k
-        end = best or line or whole or at + window
+        end = next((int(e[at + window]) for e in ends if e[at + window] > at), at + window)
         pieces.append((at, end))
         at = end
-    if n:
-        pieces.append((at, n))
-    return pieces
+    return [*pieces, (at, n)]
 
 
 def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Column, Column], Column]:
@@ -132,6 +130,10 @@ def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Colum
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])))
     def cut(texts: pd.Series, langs: pd.Series) -> pd.Series:
         coder = _encoding(shared.value, PATTERN)
+        # how many characters begin in each token
+        begun = np.zeros(max(shared.value.values(), default=0) + 1, dtype=np.int64)
+        for token, rank in shared.value.items():
+            begun[rank] = sum((b & 0xC0) != 0x80 for b in token)
 
         def one(text, lang):
             if text is None:
@@ -139,12 +141,7 @@ def piece_cutter(spark, ranks: dict[bytes, int], window: int) -> Callable[[Colum
             ids = coder.encode_ordinary(text)
             if len(ids) <= window:
                 return [(0, len(ids), text)] if ids else []
-            data = [coder.decode_single_token_bytes(i) for i in ids]
-            at, starts = 0, []
-            for token in data:  # characters whose first byte stands before the token
-                starts.append(at)
-                at += sum((b & 0xC0) != 0x80 for b in token)
-            starts.append(len(text))
+            starts = np.concatenate([[0], np.cumsum(begun[ids])])
             return [(a, b, text[starts[a] : starts[b]]) for a, b in cut_pieces(starts, text, window, lang)]
 
         return pd.Series([[dict(zip(("start", "end", "text"), piece)) for piece in one(t, g)] for t, g in zip(texts, langs)])

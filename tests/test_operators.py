@@ -257,6 +257,21 @@ def test_pieces_cover_the_text():
         assert all(a[1] == b[0] for a, b in zip(cut, cut[1:])) and all(0 < b - a <= 6 for a, b in cut)
 
 
+@given(st.text("ab;\n é}{中", max_size=80), st.integers(2, 9), st.sampled_from(["Python", "C++", None]))
+def test_piece_ends_against_a_scan(text, window, language):
+    data = text.encode()
+    starts = [len(data[:i].decode(errors="ignore")) + (0 if i in (0, len(data)) or (data[i] & 0xC0) != 0x80 else 1) for i in range(len(data) + 1)]
+    good = set(sequences.STATEMENTS[language](text)) if language else set()
+    want, at, n = [], 0, len(starts) - 1
+    while n - at > window:
+        places = [k for k in range(at + window, at, -1) if starts[k] > starts[k - 1]]
+        end = next((k for k in places if starts[k] in good), None) or next((k for k in places if text[starts[k] - 1] == "\n"), None) or next(iter(places), at + window)
+        want.append((at, end))
+        at = end
+    want += [(at, n)] if n else []
+    assert sequences.cut_pieces(starts, text, window, language) == want
+
+
 def test_infilling_keeps_the_text():
     text = "a\nbb\nccc\n"
     for k in range(50):
