@@ -109,10 +109,10 @@ def decided(rows: DataFrame, ident: str, caps: dict[str, int | None], seed: int)
     rows = cut(rows)
     alive = rows.where("reason is null").select(ident, "group", "prompt_key", "text_key")
     first = keep_first(alive, ["text_key"], [ident])
-    limited = first.where(F.col("group").isin([g for g, n in caps.items() if n is not None])) if caps else first.limit(0)
-    kept = first.where(~F.col("group").isin([g for g, n in caps.items() if n is not None])).select(ident)
+    capped = F.coalesce(F.col("group").isin([g for g, n in caps.items() if n is not None]), F.lit(False))  # a null group is not
+    kept = first.where(~capped).select(ident)
     for cap in sorted({n for n in caps.values() if n is not None}):
-        mine = limited.where(F.col("group").isin([g for g, n in caps.items() if n == cap]))
+        mine = first.where(F.col("group").isin([g for g, n in caps.items() if n == cap]))
         kept = kept.unionByName(cap_equals(mine, ["group", "prompt_key"], ident, cap, seed).select(ident))
     fate = first.select(ident, F.lit(True).alias("_first")).join(kept.withColumn("_kept", F.lit(True)), ident, "left")
     joined = rows.join(fate, ident, "left")

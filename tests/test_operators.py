@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import programs
 from millrace.functions import text as X
 from millrace.functions.names import repository_key, topic_key
-from millrace.operators import curation, graphs, lookups, sampling, sequences, statistics
+from millrace.operators import curation, graphs, lookups, sampling, sequences, statistics, traces
 from millrace.operators.components import connected_components
 from millrace.operators.hotjoin import hot_left_join
 from millrace.operators.ranking import carried, global_rank, grouped_rank, ntile_of, quantiles
@@ -413,6 +413,50 @@ def test_spearman_and_comparison(spark):
         statistics.compare(spark.createDataFrame(samples[:3], "row string, p string, s string, x int"), ["row"], "p", "s", "x").collect()
 
 
+CHAT = f"id long, grp string, kind string, messages {traces.MESSAGES}, prompt string"
+
+
+def test_chat_formats(spark):
+    say = lambda role, content, reasoning=None: (role, content, reasoning)
+    stub = "Files:\n\na.py\n```\npass\n```\n"
+    nine = lambda reply: [say("system", "s"), say("user", "u"), say("assistant", "a"), say("user", "u"), say("assistant", "a"), say("user", stub), say("assistant", "Ok."), say("user", " do it " + traces.EDIT_REQUEST + " a.py"), say("assistant", reply)]
+    data = [
+        (1, "g", "tagged", [say("user", " p\r\n"), say("assistant", " <think> a</think>b</think>c ")], "old"),
+        (2, "g", "tagged", [say("user", "p"), say("assistant", "no marks")], None),
+        (3, "g", "apart", [say("user", "p"), say("assistant", "  ", "thought")], None),
+        (4, "g", "apart", [say("user", "p"), say("assistant", "answer", None)], None),
+        (5, "g", "turns", [say("human", "p"), say("gpt", "<think>x</think>y")], None),
+        (6, "g", "edits", nine("I think so.\n\n### Solution Code\n\na.py\n```\nx = 1\n```\nDone."), None),
+        (7, "g", "edits", nine("No listing."), None),
+    ]
+    frame = spark.createDataFrame(data, CHAT)
+    got = {r.id: (r.prompt, r.reasoning, r.answer, r.carriage, r.reason) for r in traces.parsed(frame).collect()}
+    assert got == {
+        1: ("p", "a", "b</think>c", True, None), 2: (None, None, None, False, "no_reasoning"), 3: (None, None, None, False, "no_answer"), 4: (None, None, None, False, "no_reasoning"),
+        5: ("p", "x", "y", False, None), 6: ("a.py\n```\npass\n```\n\ndo it", "I think so.", "```python\nx = 1\n```", False, None), 7: (None, None, None, False, "no_answer"),
+    }
+    for wrong in ((1, "g", "tagged", [say("assistant", "x")], None), (1, "g", "edits", [say("user", "x")], None), (1, "g", "turns", None, None)):
+        with pytest.raises(Exception, match="no row of|no nine messages"):
+            traces.parsed(spark.createDataFrame([wrong], CHAT)).collect()
+    assert traces.parsed(frame.limit(0)).count() == 0
+    assert traces.parsed(spark.createDataFrame([(1, "g", "other", None, None)], CHAT)).first().reason == "no_reasoning"
+
+
+def test_the_drop_chain(spark):
+    ten = " ".join(f"w{k}" for k in range(10))
+    rows_ = [(i, g, "P" if i < 20 else f"Q{i}", f"r {i} " * 5, "a") for i, g in ((1, "capped"), (2, "capped"), (3, "capped"), (4, "free"), (5, "free"), (6, "free"), (21, None), (22, None))]
+    rows_ += [(31, "free", "Q31", "short", "a"), (32, "free", "Q32", "long " * 90, "a"), (33, "free", "Q33", "r " * 9 + ten, "a"), (34, "free", "P", "r 4 " * 5, "a")]
+    frame = spark.createDataFrame([(*r, None, False) for r in rows_], "id long, group string, prompt string, reasoning string, answer string, reason string, carriage boolean")
+    tests = spark.createDataFrame([(1, ten)], "item_id int, text string")
+    sized = traces.measured(frame, lambda c: F.size(X.words(c)).cast("long"), "id", tests, 5, 80)
+    done = traces.decided(sized, "id", {"capped": 2, "free": None}, 3)
+    got = {r.id: r.reason for r in done.collect()}
+    assert [got.pop(i) for i in (31, 32, 33, 34)] == ["short_reasoning", "over_length", "contaminated", "duplicate"]
+    assert sorted(str(got.pop(i)) for i in (1, 2, 3)) == ["None", "None", "capped"]
+    assert got == dict.fromkeys((4, 5, 6)) | dict.fromkeys((21, 22))
+    assert traces.decided(sized.limit(0), "id", {"capped": 2}, 3).count() == 0
+
+
 def test_deals_and_nearest(spark):
     frame = spark.createDataFrame([("a", 9), ("b", None), ("c", 5), ("d", 5), ("e", 1)], "f string, n int")
     assert {r.f: (r.turn, r.slot) for r in sampling.dealt_longest_first(frame, "f", "n", 2).collect()} == {"a": (0, 0), "c": (0, 1), "d": (1, 1), "e": (1, 0), "b": (2, 0)}
