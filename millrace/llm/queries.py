@@ -191,6 +191,12 @@ def p7_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return _statistics(spark, folder)
 
 
+@query("p7_counts")
+def p7_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Those counts that a statement can make too."""
+    return _statistics(spark, folder).select("doc_id", "chars", "lines", "short_lines", "line_chars")
+
+
 @query("p7_verdicts")
 def p7_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """The verdicts against the hand labels."""
